@@ -31,7 +31,7 @@ BUCKET = 4096
 WIDE = 4
 #: For near-duplicates by similarity: words of a shingle, least similarity, radius and parts of the
 #: word-set fingerprints that find candidates.
-WORDS, SIMILARITY, RADIUS, PARTS = 5, 0.8, 7, 2
+WORDS, SIMILARITY, RADIUS, PARTS = 5, 0.8, 9, 2
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -147,8 +147,8 @@ def _similar_bits(similarity: float, bits: int) -> int:
 
 def _point_array(column: pa.Array, width: int) -> np.ndarray:
     """A column of equally long points as rows of 64-bit words."""
-    data = np.frombuffer(column.buffers()[2], ">u8", width * (column.offset + len(column)))
-    return data.reshape(-1, width)[column.offset :]
+    first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], ">u8", width * len(column), first).astype(np.uint64).reshape(-1, width)
 
 
 def forest(points: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
@@ -189,8 +189,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
     def close() -> None:
         if held and size >= 2:
             points = np.concatenate(held)
-            if edges := forest(points.astype(np.uint64), radius, most):
-                raw = points.tobytes()
+            if edges := forest(points, radius, most):
+                raw = points.astype(">u8").tobytes()
                 one = [raw[8 * width * k : 8 * width * (k + 1)] for k in range(len(points))]
                 tell([one[x] for x, _ in edges], [one[y] for _, y in edges], None)
         held.clear()
@@ -212,9 +212,9 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
                 close()
                 now, size = key, 0
             size += hi - lo
-            held.append(points[lo:hi].copy() if hi == len(mask) else points[lo:hi])
+            held.append(points[lo:hi])
             if size > bucket:  # over the bound: all of it goes back
-                raw = np.concatenate(held).tobytes()
+                raw = np.concatenate(held).astype(">u8").tobytes()
                 again = [raw[k : k + 8 * width] for k in range(0, len(raw), 8 * width)]
                 tell(again, [None] * len(again), int(mask[lo]))
                 held.clear()

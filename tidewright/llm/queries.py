@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, exact_dedup, simhash, url_filter
-from tidewright.llm.common import read
+from tidewright.llm import bpe, ctw, exact_dedup, quality, simhash, url_filter
+from tidewright.llm.common import crc_remainder, read
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -40,11 +40,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of documents, learned from labels outside the held-out fifth."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    out = quality.score(docs, quality.train(docs, labels))
+    return out.select("doc_id", (crc_remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every text of documents by word counts and by the context tree."""
+    return ctw.scored(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+    "op10_ctw": op10_ctw,
 }
 
 _ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, chat, ctw, exact_dedup, quality, secrets, simhash, url_filter
+from tidewright.llm import bpe, chat, ctw, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, url_filter
 from tidewright.llm.common import crc_remainder, read
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -18,6 +18,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a benchmark item, within its error budget, in documents."""
+    found = decontaminate.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.distance", "x.start", "x.end")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that tries to forge turns, in windows with loss masks, read back."""
     own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,12 +41,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(joined(F.filter("secrets", lambda x: x["kind"].isin(*kinds))), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of documents."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).drop("digest")
 
 
-def _byte_bpe() -> tuple[str, str]:
+def byte_bpe() -> tuple[str, str]:
+    """The ranks file and the split pattern."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -48,7 +61,7 @@ def _byte_bpe() -> tuple[str, str]:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as token ids and back."""
-    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), *_byte_bpe())
+    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe())
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -71,8 +84,10 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_extract": op5_html_extract,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, text_of
+from tidewright.llm.common import bounded_batches, fresh, with_text
 
 #: Texts that are encoded at a time, and pieces that a worker remembers with their ids.
 CALL_ROWS = 64
@@ -132,12 +132,12 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids_le") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [decode_ids(x or b"", path) for x in batch.column("_ids").to_pylist()]
+            out = [decode_ids(x or b"", path) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])
 
     kept = docs.drop("decoded")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded binary"])
-    return kept.withColumn("_ids", F.col(ids)).mapInArrow(run, schema)
+    return kept.withColumn(fresh(kept.columns, "_ids"), F.col(ids)).mapInArrow(run, schema)
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, text: str, offsets: bool, back: bool) -> DataFrame:
@@ -148,7 +148,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, offsets: bool,
         for whole in batches:
             for at in range(0, whole.num_rows, CALL_ROWS):
                 batch = whole.slice(at, CALL_ROWS)
-                texts = batch.column("_text").to_pylist()
+                texts = batch.column(batch.num_columns - 1).to_pylist()
                 ids, spans = encode_with_offsets(texts, path, pattern) if offsets else (encode_texts(texts, path, pattern), [])
                 more = {"ids_le": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if offsets:
@@ -158,6 +158,5 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, offsets: bool,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more.values()], names=[*batch.schema.names[:-1], *more])
 
     added = ["ids_le binary", "n_tokens bigint"] + ["offsets array<struct<start:int,end:int>>"] * offsets + ["decoded binary"] * back
-    kept = docs.withColumn("_text", text_of(docs[text])).drop(*(x.split()[0] for x in added if x.split()[0] != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"), *added])
-    return kept.mapInArrow(run, schema)
+    rows, types = with_text(docs, text, tuple(x.split()[0] for x in added))
+    return rows.mapInArrow(run, ", ".join([*types, *added]))

@@ -33,6 +33,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or a longer one if a column is named so."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def with_text(docs: DataFrame, text: str, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs without the columns that an operator replaces and with the text, null as empty, as a last
+    column beside them; and the types of what is kept, for a schema."""
+    kept = [f for f in docs.schema if f.name not in replaced]
+    own = text_of(docs[text]).alias(fresh(docs.columns, "_text"))
+    return docs.select(*(docs[f"`{f.name}`"] for f in kept), own), [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
     and the session is a local one (tests), a folder of this machine."""

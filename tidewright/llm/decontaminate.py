@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, text_of
+from tidewright.llm.common import bounded_batches, fresh, text_of, with_text
 
 #: Least length of a piece in code points; the error budget of an item follows from it.
 PIECE = 12
@@ -176,28 +176,34 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     gives empty lists or an empty result. Texts and items are read whole. A column named leaks is
     replaced.
     """
+    return _found(docs, benchmark, "leaks", text, key, item_text, piece, block)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, name: str, text: str, key: str, item_text: str, piece: int, block: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    out = docs.withColumn("leaks", F.array().cast(_HIT))
+    out = docs.drop(name).withColumn(name, F.array().cast(_HIT))
     for items in blocks_of(benchmark, item_text, key, block):
         out = _searched(out, docs.sparkSession.sparkContext.broadcast(tuple(items)), text, piece)
     return out
 
 
 def _searched(docs: DataFrame, shared, text: str, piece: int) -> DataFrame:
+    """docs, whose last column lists what was found before, with what this block of items adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared.value, piece)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            at = b.schema.names.index("leaks")
+            *rest, before, texts = b.columns
             out = []
-            for t, before in zip(b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist(), strict=True):
-                out.append((before or []) + [{"item_id": h.item, "distance": h.distance, "start": h.start, "end": h.end} for h in matcher.search(t)])
-            columns = [pa.array(out, kind) if k == at else c for k, c in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            for t, old in zip(texts.to_pylist(), before.to_pylist(), strict=True):
+                out.append((old or []) + [{"item_id": h.item, "distance": h.distance, "start": h.start, "end": h.end} for h in matcher.search(t)])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(out, kind)], names=b.schema.names[:-1])
 
-    return docs.withColumn("_text", text_of(docs[text])).mapInArrow(run, docs.schema)
+    return with_text(docs, text)[0].mapInArrow(run, docs.schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "item_id", item_text: str = "text", piece: int = PIECE, block: int = BLOCK) -> DataFrame:
     """The rows of docs without any occurrence of a test item, with all their columns."""
-    return find(docs, benchmark, **how).where(F.size("leaks") == 0).select(*docs.columns)
+    name = fresh(docs.columns, "_leaks")
+    return _found(docs, benchmark, name, text, key, item_text, piece, block).where(F.size(name) == 0).drop(name)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, cut, text_of
+from tidewright.llm.common import ascii_lower, cut, fresh, text_of
 
 #: Parts that a group of copies is dealt to before the global merge.
 SALTS = 16
@@ -63,5 +63,6 @@ def drop_exact_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     groups = exact_groups(docs, text=text, key=key)
     tag = lambda k: F.coalesce(F.concat(F.lit("+"), F.col(k).cast("string")), F.lit(""))
     keep = groups.where("kept").select(F.col("digest").alias("_dig"), tag(key).alias("_tag")).distinct()
-    own = docs.withColumns({"_dig": _digest(docs[text]), "_tag": tag(key)})
-    return own.join(keep, ["_dig", "_tag"], "left_semi").dropDuplicates(["_dig", "_tag"]).select(*docs.columns)
+    mark, name = fresh(docs.columns, "_dig"), fresh(docs.columns, "_tag")
+    own = docs.withColumns({mark: _digest(docs[text]), name: tag(key)})
+    return own.join(keep.toDF(mark, name), [mark, name], "left_semi").dropDuplicates([mark, name]).select(*docs.columns)

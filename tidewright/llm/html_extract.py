@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, cut, text_of
+from tidewright.llm.common import bounded_batches, cut, fresh, text_of
 from tidewright.llm.url_filter import host_of
 
 #: Different pages that must agree on a slot, and their least share of the host's pages.
@@ -313,10 +313,11 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", agree: in
     replaced."""
     found = wrappers(pages, url=url, html=html, agree=agree, share=share)
     size = found.agg(F.sum(F.length("wrapper") + 8 * F.size("constant"))).first()[0] or 0
-    found = found.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("constant").alias("_constant"))
-    kept = pages.withColumns({"_host": host_of(F.col(url)), "_html": text_of(pages[html])}).drop(html, "text")
-    rest = [c for c in kept.columns if c not in ("_host", "_html")]
-    joined = kept.join(F.broadcast(found) if size <= sent else found, "_host", "left").select(*rest, "_html", "_wrapper", "_constant")
+    rest = [c for c in pages.columns if c not in (html, "text")]
+    host = fresh(pages.columns, "_host")
+    found = found.toDF(host, "_w", "_c")
+    own = pages.select(*rest, host_of(F.col(url)).alias(host), text_of(pages[html]).alias("_h"))
+    joined = own.join(F.broadcast(found) if size <= sent else found, host, "left").select(*(own[c] for c in rest), own["_h"], found["_w"], found["_c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,5 +325,5 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", agree: in
             out = [main_text(*row) for row in zip(*(b.column(k).to_pylist() for k in range(last - 3, last)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(out, pa.string())], names=[*b.schema.names[:-3], "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*rest).schema), "text string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*rest).schema), "text string"])
     return joined.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, crc_remainder, text_of
+from tidewright.llm.common import bounded_batches, crc_remainder, text_of, with_text
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -160,6 +160,5 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
             more = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    kept = docs.withColumn("_text", text_of(docs[text])).drop("score", "predicted")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"), "score double", "predicted int"])
-    return kept.mapInArrow(run, schema)
+    rows, types = with_text(docs, text, ("score", "predicted"))
+    return rows.mapInArrow(run, ", ".join([*types, "score double", "predicted int"]))

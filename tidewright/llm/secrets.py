@@ -15,9 +15,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, text_of
+from tidewright.llm.common import bounded_batches, with_text
 
 
 @dataclasses.dataclass(frozen=True)
@@ -379,6 +378,5 @@ def find(docs: DataFrame, *, rules: tuple[Rule, ...] = BASE + MORE, text: str =
             out = [spans(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], names=[*b.schema.names[:-1], "secrets"])
 
-    kept = docs.withColumn("_text", text_of(docs[text])).drop("secrets")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"), "secrets array<struct<kind:string,start:bigint,end:bigint>>"])
-    return kept.mapInArrow(run, schema)
+    rows, types = with_text(docs, text, ("secrets",))
+    return rows.mapInArrow(run, ", ".join([*types, "secrets array<struct<kind:string,start:bigint,end:bigint>>"]))

@@ -71,7 +71,7 @@ def _joined(df: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
     by_host = hosts.groupBy("host").agg(F.sort_array(F.collect_set(F.struct(best.alias("best"), "p", "v")), asc=False).alias("found"))
     fit = F.element_at(F.filter("found", lambda r: F.col("path").startswith(r["p"])), 1)
     out = df.join(by_host, "host", "left").withColumn("fit", F.when(F.size(F.filter("found", lambda r: F.col("path").startswith(r["p"]))) > 0, fit))
-    return out.withColumns({"rule": F.col("fit.best.t"), "own": F.col("fit.v")}).drop("found", "fit")
+    return out.withColumns({"rule": F.col("fit.best.t"), "own": F.col("fit.v")}).select(*df.columns, "rule", "own")
 
 
 def judged(df: DataFrame, rules: Sequence[tuple[str, str]], url: Column, inline: int = INLINE_RULES) -> DataFrame:

@@ -708,18 +708,23 @@ def _(t):
 
 
 @_query("coverage", """
-    c as (select person_id from observed group by 1 having count(*) filter (event = 'F' and age <= 10958) = 0),
-    r as (select * from counted where age_stop = 10958 and person_id in (from c)),
-    s as (select * from scored where age_stop = 10958 and person_id in (from c)),
-    d as (select person_id from births where "order" = 1 and age <= 10958) ;;
-    select (select count(*) from c) as n_condition, (select count(*) from s) as n_evaluable, (select count(*) from spans) - (select count(*) from c) as n_excluded_condition,
-        (select count(*) from d where person_id in (from c)) as n_settled, greatest((select count(*) from c) - (select count(*) from s) - (select count(*) from d where person_id in (from c)), 0) as n_uncovered,
-        min(n) as n_seed_min, quantile_cont(n::double, 0.5) as n_seed_median, max(n) as n_seed_max from r""", ("n_seed_median",))
-def _(t):
-    jump = years_to_days(30)
-    who = outcomes.condition_persons(t.observed, CHILDLESS, jump)
-    inside = lambda df: df.where(F.col("age_stop") == jump).join(who, "person_id", "left_semi")
-    return scoring.coverage(inside(replicates.summary(t.evaluated)), inside(t.scored), who, outcomes.settled_persons(t.observed, IN5, jump), t.observed.select("person_id").distinct())
+    c as (select age_start, age_stop, person_id from observed, windows group by 1, 2, 3 having count(*) filter (event = 'F' and age <= age_stop) = 0),
+    x as (select age_start, age_stop, count(*) as n_condition from c group by 1, 2),
+    r as (select age_start, age_stop, min(n) as lo, quantile_cont(n::double, 0.5) as mid, max(n) as hi from counted join c using (age_start, age_stop, person_id) group by 1, 2),
+    s as (select age_start, age_stop, count(*) as n_evaluable from scored join c using (age_start, age_stop, person_id) group by 1, 2),
+    d as (select w.age_start, w.age_stop, count(*) filter ((w.age_start, w.age_stop, person_id) in (select (age_start, age_stop, person_id) from c)) as n_settled from births, windows w where "order" = 1 and age <= w.age_stop group by 1, 2) ;;
+    select age_start, age_stop, n_condition, n_evaluable, (select count(*) from spans) - n_condition as n_excluded_condition, n_settled, greatest(n_condition - n_evaluable - n_settled, 0) as n_uncovered,
+        lo as n_seed_min, mid as n_seed_median, hi as n_seed_max from x join r using (age_start, age_stop) join s using (age_start, age_stop) join d using (age_start, age_stop)""", ("n_seed_median",))
+def _(t):
+    runs, scored, everyone, out = replicates.summary(t.evaluated), t.scored, t.observed.select("person_id").distinct(), None
+    for years in star.JUMPOFFS:
+        jump = years_to_days(years)
+        who = outcomes.condition_persons(t.observed, CHILDLESS, jump)
+        inside = lambda df, jump=jump, who=who: df.where(F.col("age_stop") == jump).join(who, "person_id", "left_semi")
+        row = scoring.coverage(inside(runs), inside(scored), who, outcomes.settled_persons(t.observed, IN5, jump), everyone)
+        row = row.select(F.lit(0).alias("age_start"), F.lit(jump).alias("age_stop"), *row.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # -- pooling --------------------------------------------------------------------------------------
@@ -898,14 +903,14 @@ def _(t):
 
 
 @_query("suppress_small_cells", """
-    f as (select cohort, segment, count(*) as n from persons join cohorts using (person_id) where person_id % 11 = 0 group by 1, 2),
+    f as (select birth_year, segment, count(*) as n from persons group by 1, 2),
     h as (select *, n between 1 and 3 as h from f),
-    i as (select *, sum(h::int) over (partition by cohort) as hs, row_number() over (partition by cohort order by case when not h and n > 0 then 0 else 1 end, n, segment) as r from h),
+    i as (select *, sum(h::int) over (partition by birth_year) as hs, row_number() over (partition by birth_year order by case when not h and n > 0 then 0 else 1 end, n, segment) as r from h),
     j as (select *, h or (hs = 1 and not h and n > 0 and r = 1) as gone from i) ;;
-    select cohort, segment, case when not gone then n end as n, gone as suppressed from j""")
+    select birth_year, segment, case when not gone then n end as n, gone as suppressed from j""")
 def _(t):
-    cells = t.persons.where("person_id % 11 = 0").join(t.cohorts, "person_id").groupBy("cohort", "segment").agg(F.count(F.lit(1)).alias("n"))
-    return suppress(cells, ["n"], by=["cohort"], order=["segment"])
+    cells = t.persons.groupBy("birth_year", "segment").agg(F.count(F.lit(1)).alias("n"))
+    return suppress(cells, ["n"], by=["birth_year"], order=["segment"])
 
 
 @_query("flagship", _QUANTILE_BINS.replace("from scored", "from kept").replace("scored s", "kept s").replace("\n    q as", """

@@ -10,6 +10,11 @@ A bucket holds distinct fingerprints only, and links are reported as a spanning
 bucket, never as all its pairs. A bucket that outgrows BUCKET is dealt out again by blocks of the
 bits outside its mask: of r+1 blocks, a pair within the radius agrees on one. So no bucket is cut
 short, and no task holds more than BUCKET fingerprints of one.
+
+Near-duplicates by similarity use two fingerprints: one of the set of words finds candidates, since
+few edits move it little, and a wide one of the shingles tells how near they are. A bucket's forest
+is then its minimum spanning forest by the wide distance, so texts hang on their nearest relatives;
+edges that are neither surely near nor surely far are decided by their exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ WIDE = 4
 #: For near-duplicates by similarity: words of a shingle, least similarity, radius and parts of the
 #: word-set fingerprints that find candidates.
 WORDS, SIMILARITY, RADIUS, PARTS = 5, 0.8, 9, 2
+#: Standard deviations of the wide distance beyond which an edge needs no exact look, and document ids
+#: that are sent to all tasks; more are joined.
+DOUBT, SENT = 4.0, 2_000_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -151,40 +159,44 @@ def _point_array(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], ">u8", width * len(column), first).astype(np.uint64).reshape(-1, width)
 
 
-def forest(points: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
-    """Edges (row numbers) of a spanning forest of the graph that links rows whose first words
-    differ in no more than radius bits and whose other words in no more than most."""
-    if len(points) == 2:
-        d = np.bitwise_count(points[0] ^ points[1])
-        return [(0, 1)] if d[0] <= radius and d[1:].sum() <= most else []
-    edges, left = [], np.arange(len(points))
+def forest(points: np.ndarray, radius: int, most: int) -> list[tuple[int, int, int]]:
+    """Edges (row numbers, and how many bits the other words differ in) of a minimum spanning forest
+    of the graph that links rows whose first words differ in no more than radius bits and whose other
+    words in no more than most. Grown from one row at a time, it needs no list of pairs."""
+    n, far = len(points), 1 << 30
+    if n == 2:
+        d = np.bitwise_count(points[0] ^ points[1]).astype(int)
+        return [(0, 1, int(d[1:].sum()))] if d[0] <= radius and d[1:].sum() <= most else []
     fps, wide = np.ascontiguousarray(points[:, 0]), points[:, 1:]
+    edges, left = [], np.arange(1, n)
+    best, to = np.full(n - 1, far), np.zeros(n - 1, np.int64)
+    at = 0
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-            if wide.shape[1] and near.any():
-                some = np.flatnonzero(near)
-                near[some] = np.bitwise_count(wide[left[some]] ^ wide[at]).sum(1, dtype=np.int64) <= most
-            if near.any():
-                found, left = left[near], left[~near]
-                edges += [(at, x) for x in found]
-                queue += found.tolist()
+        near = np.flatnonzero(np.bitwise_count(fps[left] ^ fps[at]) <= radius)
+        if len(near):
+            d = np.bitwise_count(wide[left[near]] ^ wide[at]).sum(1, dtype=np.int64)
+            closer = (d <= most) & (d < best[near])
+            best[near[closer]], to[near[closer]] = d[closer], at
+        k = int(best.argmin())
+        at = int(left[k])
+        if best[k] < far:
+            edges.append((int(to[k]), at, int(best[k])))
+        left, best, to = (np.delete(x, k) for x in (left, best, to))
     return edges
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, part, point) sorted by bucket in, rows (a, b, mask) out: links, with mask null,
-    and the members of outgrown buckets as (point, null, mask)."""
-    out: list[list] = [[], [], []]
+    """Rows (mask, part, point) sorted by bucket in, rows (a, b, mask, bits) out: links, with mask null,
+    and the members of outgrown buckets as (point, null, mask, null)."""
+    out: list[list] = [[], [], [], []]
     held: list[np.ndarray] = []
     now, size = None, 0
 
-    def tell(a: list, b: list, mask: int | None) -> None:
+    def tell(a: list, b: list, mask: int | None, bits: list) -> None:
         out[0].extend(a)
         out[1].extend(b)
         out[2].extend([mask] * len(a))
+        out[3].extend(bits)
 
     def close() -> None:
         if held and size >= 2:
@@ -192,12 +204,12 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
             if edges := forest(points, radius, most):
                 raw = points.astype(">u8").tobytes()
                 one = [raw[8 * width * k : 8 * width * (k + 1)] for k in range(len(points))]
-                tell([one[x] for x, _ in edges], [one[y] for _, y in edges], None)
+                tell([one[x] for x, _, _ in edges], [one[y] for _, y, _ in edges], None, [d for _, _, d in edges])
         held.clear()
 
     def flush() -> pa.RecordBatch:
-        kinds = pa.binary(), pa.binary(), pa.int64()
-        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "b", "mask"])
+        kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64()
+        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "b", "mask", "bits"])
         for x in out:
             x.clear()
         return batch
@@ -216,7 +228,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
             if size > bucket:  # over the bound: all of it goes back
                 raw = np.concatenate(held).astype(">u8").tobytes()
                 again = [raw[k : k + 8 * width] for k in range(0, len(raw), 8 * width)]
-                tell(again, [None] * len(again), int(mask[lo]))
+                tell(again, [None] * len(again), int(mask[lo]), [None] * len(again))
                 held.clear()
             if len(out[0]) > 20_000:
                 yield flush()
@@ -225,7 +237,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
 
 
 def links(points: DataFrame, width: int, radius: int, *, parts: int = 1, most: int = 0, bucket: int = BUCKET) -> DataFrame:
-    """points: distinct points of width words. Edges (a, b) whose components are those of all links."""
+    """points: distinct points of width words. Edges (a, b, bits) whose components are those of all
+    links; bits is the distance of the words after the first."""
     bounded_batches(points.sparkSession)
     each = lambda masks: F.array(*(F.lit(signed(m)) for m in masks))
     rows = points.select(F.explode(each(covering_masks(radius, parts))).alias("mask"), "point")
@@ -233,8 +246,8 @@ def links(points: DataFrame, width: int, radius: int, *, parts: int = 1, most: i
     while True:
         word = F.conv(F.hex(F.substring("point", 1, 8)), 16, -10).cast("long")
         dealt = rows.select("mask", word.bitwiseAND(F.col("mask")).alias("part"), "point").repartition("mask", "part").sortWithinPartitions("mask", "part")
-        done = cut(dealt.mapInArrow(lambda batches: _scan(batches, width, radius, most, bucket), "a binary, b binary, mask bigint"), "links")
-        linked = done.where("mask is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        done = cut(dealt.mapInArrow(lambda batches: _scan(batches, width, radius, most, bucket), "a binary, b binary, mask bigint, bits bigint"), "links")
+        linked = done.where("mask is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
         found = linked if found is None else found.unionByName(linked)
         over = done.where("mask is not null").select(F.col("a").alias("point"), "mask")
         fixed = [r[0] for r in over.select("mask").distinct().collect()]  # masks, never more than were made
@@ -267,16 +280,52 @@ def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size
     return own.join(classes, "point").select(key, "fingerprint", "component_id")
 
 
+def _shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, size: int) -> DataFrame:
+    """(point, shingles) of the rows whose key wanted (key, point) has: sorted 32-bit hashes."""
+    few = wanted.count() <= SENT
+    rows = docs.select(F.col(key).alias("_k"), text_of(docs[text]).alias("_t")).join(F.broadcast(wanted) if few else wanted, "_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["point", "shingles"])
+
+    return cut(rows.select("point", "_t").mapInArrow(run, "point binary, shingles binary").dropDuplicates(["point"]), "sets")
+
+
+def _jaccard(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets have the similarity or more."""
+    first, second = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return edges.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
-    """(key, component_id) for each row of docs: rows link whose word sets have fingerprints within
-    the radius and whose shingles of size words have wide SimHashes as near as texts of the given
-    Jaccard similarity have on average. Rows without words are in no component and have their own
-    key; nulls, repeats and empty tables as in components()."""
+    """(key, component_id) for each row of docs: rows link whose sets of shingles of size words have the
+    Jaccard similarity or more, among those whose word sets have fingerprints within the radius.
+    component_id is the smallest key that links reach. Rows without words are in no component and have
+    their own key; nulls, repeats and empty tables as in components()."""
     own = cut(wide_fingerprints(docs, text=text, key=key, size=size), "wide")
     own = own.select(key, F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("wide")).alias("point"))
     points = own.where(F.col("point") != F.lit(bytes(8 * (WIDE + 1)))).groupBy("point").agg(F.min(key).alias("least"))
-    edges = links(points.select("point"), WIDE + 1, radius, parts=parts, most=_similar_bits(similarity, 64 * WIDE), bucket=bucket)
-    return own.join(_classes(points, edges), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
+    bits = 64 * WIDE
+    mean = _similar_bits(similarity, bits)
+    doubt = DOUBT * (mean * (1 - mean / bits)) ** 0.5
+    edges = cut(links(points.select("point"), WIDE + 1, radius, parts=parts, most=round(mean + doubt), bucket=bucket), "edges")
+    unsure = edges.where(F.col("bits") > mean - doubt)
+    ends = unsure.select(F.col("a").alias("point")).unionByName(unsure.select(F.col("b").alias("point"))).distinct()
+    wanted = cut(points.join(ends, "point").where("least is not null").select(F.col("least").alias("_k"), "point"), "wanted")
+    near = edges.where(F.col("bits") <= mean - doubt).select("a", "b").unionByName(_jaccard(unsure, _shingle_sets(docs, text, key, wanted, size), similarity))
+    return own.join(_classes(points, near), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

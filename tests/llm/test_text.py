@@ -266,6 +266,13 @@ def test_url_filter(spark):
     assert got[8][2:] == ("net/es/", "block", False) and got[9] == ("a.net", "", None, "allow", False) and got[10][3] == "allow"
     judged = lambda n: sorted(map(tuple, url_filter.judged(pages.drop("verdict", "html"), queries.URL_RULES, pages["url"], inline=n).collect()), key=repr)
     assert judged(100) == judged(0)
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("pages", pages.select("page_id", "url", "html").toPandas())
+    cut = lambda rows: sorted(rows, key=repr)
+    want = c.sql(queries.SQL["op1_url_filter"]).fetchall()
+    assert cut(want) == cut(tuple(r[x] for x in ("page_id", "host", "path", "rule", "verdict", "propagated")) for r in url_filter.judge_pages(pages, queries.URL_RULES).collect())
     redirects = spark.createDataFrame([("http://third.org/", "http://x.net/fr/1")], "a string, b string")
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(pages, queries.URL_RULES, redirects=redirects).collect()}[10] == "block"
     assert url_filter.judge_pages(pages.limit(0), queries.URL_RULES).collect() == []

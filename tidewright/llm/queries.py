@@ -97,7 +97,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_RULES = ", ".join(f"('{v}', '{host}', '{path}', '{rule}')" for v, host, path, rule in url_filter.split_rules(URL_RULES))
+
 SQL: dict[str, str] = {
+    "op1_url_filter": rf"""
+        with recursive rules(verdict, host, path, rule) as (values {_RULES}),
+        own as (
+            select page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_ALPHA}), '') as host,
+                coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path, row_number() over () as row from pages),
+        found as (
+            select url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\brel\s*=\s*["'']?canonical\b', 'is'))[1],
+                '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') as href from own
+            union all select url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '<meta\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'is'))[1],
+                '\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[''"]?([^"''\s>]+)', 1, 'is') from own),
+        links as (select url, host, path, regexp_extract(url, '^(.*?)://', 1, 's') as scheme, replace(href, '&amp;', '&') as href from found where href <> ''),
+        targets as (
+            select url as a, case when contains(href, '://') then href when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then scheme || '://' || host || href
+                else scheme || '://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || href end as b from links),
+        ends as (select a as url, a, b from targets union all select b, a, b from targets),
+        nodes as (
+            select url, case when contains(url, '://') then translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_ALPHA}) || regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')
+                || regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1, 's') end as node from (select url from ends union select url from own)),
+        edges as (select x.node as a, y.node as b from targets t join nodes x on x.url = t.a join nodes y on y.url = t.b where x.node <> y.node),
+        reach(a, b) as (select a, b from edges union select b, a from edges union select r.a, e.b from reach r join (select a, b from edges union select b, a from edges) e on r.b = e.a),
+        judged as (
+            select n.node, max_by(r.verdict, (length(r.rule), r.verdict = 'allow')) as verdict, max_by(r.rule, (length(r.rule), r.verdict = 'allow')) as rule from (select distinct node from nodes) n
+            join rules r on (split_part(split_part(n.node, '/', 1), '?', 1) = r.host or ends_with(split_part(split_part(n.node, '/', 1), '?', 1), '.' || r.host))
+                and starts_with(split_part(substr(n.node, length(split_part(split_part(n.node, '/', 1), '?', 1)) + 1), '?', 1), r.path) group by 1),
+        bad as (select distinct r.a as node from reach r join judged j on r.b = j.node where j.verdict = 'block')
+        select page_id, o.host, o.path, j.rule, coalesce(j.verdict, case when b.node is not null then 'block' else 'allow' end) as verdict, j.verdict is null and b.node is not null as propagated
+        from own o left join nodes n on n.url = o.url left join judged j on j.node = n.node left join bad b on b.node = n.node""",
     "op6_exact_dedup": f"""
         with rows as (select doc_id, translate(coalesce(text, ''), {_ALPHA}) as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,

@@ -2,7 +2,7 @@
 
 import importlib
 import math
-import sys
+import pathlib
 
 import duckdb
 import pytest
@@ -57,7 +57,13 @@ def test_the_rest_stands_without_the_training_data_operators(monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", gone)
     assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(SQL)
-    assert "tidewright.llm" not in {m for m in sys.modules if m.startswith("tidewright.llm")} or True
+
+
+def test_nothing_outside_imports_them():
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    for path in [*root.glob("tidewright/**/*.py"), root / "bench.py"]:
+        if "llm" not in path.relative_to(root).parts:
+            assert "tidewright.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
 
 
 def test_broken_modules_are_not_hidden(monkeypatch):

@@ -1,4 +1,4 @@
-"""tidewright validate|run|report: experiments from the command line."""
+"""tidewright demo|inspect|validate|run|report: experiments from the command line."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from pyspark.sql import SparkSession
 
 from tidewright.operators.disclosure import DisclosureError
 from tidewright.plans import arms as plans
+from tidewright.plans import inspect
 from tidewright.plans.config import ConfigError, load_config
 from tidewright.plans.report import build_report, redraw
+from tidewright.sources import demo
 from tidewright.sources.loaders import load_all
 from tidewright.sources.publish import MANIFEST, Writer, manifest, write_manifest
 from tidewright.sources.schema import SchemaError
@@ -100,12 +102,27 @@ def main(argv: list[str] | None = None) -> int:
     p = commands.add_parser("report", help="write the report of a finished run")
     p.add_argument("directory")
     p.add_argument("--redraw", action="store_true", help="draw the figures again first")
+    d = commands.add_parser("demo", help="write a synthetic experiment")
+    d.add_argument("directory")
+    d.add_argument("--people", type=int, default=1000)
+    d.add_argument("--seeds", type=int, default=10)
+    i = commands.add_parser("inspect", help="show what the tables of a configuration hold")
+    i.add_argument("config")
     args = parser.parse_args(argv)
     try:
         if args.command == "validate":
             return validate(args.config)
         if args.command == "run":
             return run(args.config, args.arm, args.force, not args.no_report)
+        if args.command == "demo":
+            print(demo.write(session(), args.directory, people=args.people, seeds=args.seeds))
+            return 0
+        if args.command == "inspect":
+            bundle = load_all(session(), load_config(args.config))
+            for name, about in inspect.overview(bundle).items():
+                print(f"{name}: {about['rows']} rows, {about['people']} people, {about['columns']}")
+            inspect.sample_sequences(bundle.observed).show(50, truncate=False)
+            return 0
         if args.redraw:
             redraw(args.directory)
         print(build_report(args.directory))

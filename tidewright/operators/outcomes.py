@@ -74,7 +74,7 @@ def exposure_by_year(span: DataFrame, bins: AgeBins, persons: DataFrame) -> Data
     return found.select(*keys, "age_bin", (F.col("birth_year").cast("int") + F.col("k")).alias("year"), _overlap(F.col("lo"), F.col("hi")).alias("person_days")).groupBy(*keys, "age_bin", "year").agg(F.sum("person_days").alias("person_days"))
 
 
-def _profile(df: DataFrame, keys: Sequence[str], timing: Timing) -> DataFrame:
+def profile(df: DataFrame, keys: Sequence[str], timing: Timing) -> DataFrame:
     """(*keys, end_age, target_age, origin_age): one grouping for span, target and origin."""
     need(df, keys)
     origin = nth_age(timing.origin.target, timing.origin.occurrence) if timing.origin else F.lit(0)
@@ -86,7 +86,7 @@ def time_to_event(df: DataFrame, keys: Sequence[str], timing: Timing) -> DataFra
     """(*keys, duration, observed). Sequences without the origin are left out; those without the
     target are censored at their end."""
     until = F.coalesce("target_age", "end_age") - F.col("origin_age")
-    return _profile(df, keys, timing).select(*keys, until.cast("long").alias("duration"), F.col("target_age").isNotNull().alias("observed"))
+    return profile(df, keys, timing).select(*keys, until.cast("long").alias("duration"), F.col("target_age").isNotNull().alias("observed"))
 
 
 def _days(x: Column | int | None) -> Column | None:
@@ -105,7 +105,7 @@ def evaluate_framed(df: DataFrame, keys: Sequence[str], outcome: Framed, jumpoff
     upper = F.lit(value) if kind == "by_age" else lower + value
     occurred = F.coalesce((target > lower) & (target <= upper), F.lit(False))
     settled = F.lit(False) if jump is None else (upper <= jump) | F.coalesce(target <= jump, F.lit(False))
-    return _profile(df, keys, outcome.timing).select(*keys, occurred.alias("occurred"), (~settled & (occurred | (F.col("end_age") >= upper))).alias("evaluable"))
+    return profile(df, keys, outcome.timing).select(*keys, occurred.alias("occurred"), (~settled & (occurred | (F.col("end_age") >= upper))).alias("evaluable"))
 
 
 def evaluate_count(df: DataFrame, keys: Sequence[str], query: Counted, jumpoff: Column | int) -> DataFrame:
@@ -148,7 +148,7 @@ def settled_persons(observed: DataFrame, outcome: Framed, jumpoff: int) -> DataF
     else:
         upper = F.col("origin_age") + outcome.frame.value
     known = F.col("target_age").isNotNull() & ((upper <= jumpoff) | (F.col("target_age") <= jumpoff))
-    return _profile(observed, ["person_id"], outcome.timing).where(known).select("person_id")
+    return profile(observed, ["person_id"], outcome.timing).where(known).select("person_id")
 
 
 def condition_persons(observed: DataFrame, condition: Condition, jumpoff: int) -> DataFrame:

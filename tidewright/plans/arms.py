@@ -11,13 +11,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.special import z_of
 from tidewright.operators import dispersion, fertility, outcomes, plausibility, pooling, replicates, scoring, sequences, slicing, survival
 from tidewright.plans import config as settings
 from tidewright.plans.specs import GENERATED, PERSON, RUN, WINDOW, Counted, Framed, Timing
 from tidewright.sources.loaders import Bundle
 from tidewright.sources.publish import Writer
-from tidewright.units import DAYS_PER_YEAR, completed_years, years_to_days
+from tidewright.units import DAYS_PER_YEAR, years_to_days
 
 logger = logging.getLogger(__name__)
 FIFTY = years_to_days(50)
@@ -155,8 +154,7 @@ def backtesting(study: Study, out: Writer) -> None:
         thin = [r["age_stop"] for r in runs.groupBy("age_stop").agg(F.percentile("n", F.lit(0.5)).alias("m")).where(F.col("m") < spec.min_replicates).collect()]
         if thin:
             logger.warning("backtesting: %s has a median of fewer than %d replicates at jump-offs %s", q.name, spec.min_replicates, thin)
-        out_individual = label(probabilities)
-        add("probabilities", out_individual)
+        add("probabilities", label(probabilities))
         table = scoring.calibration(scored, block.calibration_bins, block.calibration_binning, WINDOW)
         add("calibration", label(table))
         add("p_hat_distribution", label(scoring.p_hat_distribution(scored, WINDOW, out.min_cell)))
@@ -188,7 +186,7 @@ def _settled(observed: DataFrame, q: Framed, jumps: DataFrame) -> DataFrame:
     """(*RUN) of people whose target occurs and is known at the window's jump-off."""
     jump = F.col("age_stop")
     upper = F.lit(q.frame.value) if q.frame.kind == "by_age" else jump + q.frame.value if q.frame.kind == "within" else F.col("origin_age") + q.frame.value
-    known = outcomes._profile(observed, PERSON, q.timing).where("target_age is not null").crossJoin(jumps)
+    known = outcomes.profile(observed, PERSON, q.timing).where("target_age is not null").crossJoin(jumps)
     return known.where((upper <= jump) | (F.col("target_age") <= jump)).select(*RUN)
 
 
@@ -262,7 +260,7 @@ def forecasting(study: Study, out: Writer) -> None:
     for v in block.replicate_variance:
         _variance(study, v, generated, life, known, out)
     if block.sequence_descriptives:
-        _descriptions(study, generated, windows, out)
+        _descriptions(study, generated, out)
 
 
 def _lexis(study: Study, want, timing: Timing, windows, out: Writer) -> None:
@@ -325,13 +323,12 @@ def _variance(study: Study, v, generated: DataFrame, life: DataFrame, known, out
             out.table(f"replicate_variance_aggregate_{name}", dispersion.aggregate(generated, life, timing.target, study.cohorts(), config.replicates.level))
 
 
-def _descriptions(study: Study, generated: DataFrame, windows, out: Writer) -> None:
+def _descriptions(study: Study, generated: DataFrame, out: Writer) -> None:
     """Age profiles and token frequencies of generated and observed futures, for all cohorts together
     (a null cohort) and each."""
     bundle = study.bundle
     tokens, observed = dict(bundle.events), bundle.observed
     bins = sequences.bins_for([generated, observed])
-    jumps = F.broadcast(observed.sparkSession.createDataFrame(list(windows), "age_start int, age_stop int"))
     people = generated.select(*RUN).distinct()
     ends = outcomes.spans(observed, PERSON).select("person_id", "end_age")
     then = people.join(ends, "person_id").where("end_age > age_stop")
@@ -340,7 +337,6 @@ def _descriptions(study: Study, generated: DataFrame, windows, out: Writer) -> N
         "generated": (generated, outcomes.spans(generated, GENERATED), ["person_id", "seed"]),
         "observed": (seen, then.select(*RUN, F.col("age_stop").alias("start_age"), "end_age"), ["person_id"]),
     }
-    del jumps
     profiles, counts = [], []
     for source, (events, lived, unit) in sides.items():
         blocks = [(None, events, lived)]
@@ -358,4 +354,3 @@ def _descriptions(study: Study, generated: DataFrame, windows, out: Writer) -> N
 
 
 ARMS = {"descriptives": descriptives, "backtesting": backtesting, "forecasting": forecasting}
-__all__ = ["ARMS", "Study", "completed_years", "z_of"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 import logging
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 

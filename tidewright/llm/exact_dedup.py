@@ -62,7 +62,7 @@ def drop_exact_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     the largest key. Rows that repeat the winning key and text collapse to one."""
     groups = exact_groups(docs, text=text, key=key)
     tag = lambda k: F.coalesce(F.concat(F.lit("+"), F.col(k).cast("string")), F.lit(""))
-    keep = groups.where("kept").select(F.col("digest").alias("_dig"), tag(key).alias("_tag")).distinct()
+    keep = groups.where("kept").select(F.col("digest").alias("_dig"), tag(key).alias("_tag")).repartition("_dig", "_tag").distinct()  # dealt by both: a digest may be hot
     mark, name = fresh(docs.columns, "_dig"), fresh(docs.columns, "_tag")
     own = docs.withColumns({mark: _digest(docs[text]), name: tag(key)})
     return own.join(keep.toDF(mark, name), [mark, name], "left_semi").dropDuplicates([mark, name]).select(*docs.columns)

@@ -261,7 +261,9 @@ def _classes(points: DataFrame, edges: DataFrame) -> DataFrame:
     """points (point, least): (point, component_id), the least key of the point's component."""
     member = connected_components(edges)
     placed = points.join(member, points["point"] == member["node"], "left").select("point", F.coalesce("root", "point").alias("root"), "least")
-    return cut(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("point", "component_id"), "classes")
+    # Cut, so that the join deals both sides itself and a large component's rows can be split.
+    roots = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    return cut(placed.join(roots, "root").select("point", "component_id"), "classes")
 
 
 def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 4, radius: int = 4, parts: int = 1, bucket: int = BUCKET) -> DataFrame:

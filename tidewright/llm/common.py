@@ -59,10 +59,17 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+#: Narrow rows that one file of a table takes, where their number is known ahead.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again. The lineage ends there,
-    and a lost executor costs a re-read instead of a recomputation."""
+    and a lost executor costs a re-read instead of a recomputation. rows: how many there are at most,
+    so that a small table isn't spread over as many files as the session has shuffle partitions."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -43,8 +43,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        wide = cut(_large_star(now), "large")
-        after = cut(_small_star(wide), "small")
+        wide = cut(_large_star(now), "large", 2 * before[0])
+        after = cut(_small_star(wide), "small", 2 * before[0])
         state = _state(after)
         drop_cut(now)
         drop_cut(wide)

@@ -257,13 +257,14 @@ def links(points: DataFrame, width: int, radius: int, *, parts: int = 1, most: i
         rows = over.select("point", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
 
 
-def _classes(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points (point, least): (point, component_id), the least key of the point's component."""
+def _classes(points: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    """points (point, least): (point, component_id), the least key of the point's component. rows: how
+    many points there are at most."""
     member = connected_components(edges)
     placed = points.join(member, points["point"] == member["node"], "left").select("point", F.coalesce("root", "point").alias("root"), "least")
     # Cut, so that the join deals both sides itself and a large component's rows can be split.
-    roots = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    return cut(placed.join(roots, "root").select("point", "component_id"), "classes")
+    roots = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")), "roots", rows)
+    return cut(placed.join(roots, "root").select("point", "component_id"), "classes", rows)
 
 
 def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 4, radius: int = 4, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
@@ -278,7 +279,7 @@ def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     own = own.select(key, hexed.alias("fingerprint"), F.unhex(hexed).alias("point"))
     points = own.groupBy("point").agg(F.min(key).alias("least"))
-    classes = _classes(points, links(points.select("point"), 1, radius, parts=parts, bucket=bucket))
+    classes = _classes(points, links(points.select("point"), 1, radius, parts=parts, bucket=bucket), own.count())
     return own.join(classes, "point").select(key, "fingerprint", "component_id")
 
 
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     ends = unsure.select(F.col("a").alias("point")).unionByName(unsure.select(F.col("b").alias("point"))).distinct()
     wanted = cut(points.join(ends, "point").where("least is not null").select(F.col("least").alias("_k"), "point"), "wanted")
     near = edges.where(F.col("bits") <= mean - doubt).select("a", "b").unionByName(_jaccard(unsure, _shingle_sets(docs, text, key, wanted, size), similarity))
-    return own.join(_classes(points, near), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
+    return own.join(_classes(points, near, own.count()), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

@@ -24,10 +24,9 @@ def distribution(people: DataFrame, value: str, by: Sequence[str], n_bins: int =
     flat = F.col("_lo") == F.col("_hi")
     ends = ends.select(F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"), F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
     edge = lambda k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) / n_bins * k
-    # The quotient may round across an edge; comparing with the edges puts it right.
-    raw = F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / n_bins))
-    fixed = raw + F.when(F.col(value) >= edge(raw + 1), 1).when(F.col(value) < edge(raw), -1).otherwise(0)
-    binned = data.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.greatest(fixed, F.lit(0)), F.lit(n_bins - 1)).cast("long"))
+    # A variance may miss an edge by rounding, and how depends on the order of summing: such values count as on it.
+    found = F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / n_bins) + 1e-9)
+    binned = data.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(found, F.lit(n_bins - 1)).cast("long"))
     sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
     grid = sizes.crossJoin(F.broadcast(ends)).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
     cells = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n_persons"))

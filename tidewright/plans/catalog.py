@@ -794,8 +794,7 @@ def _(t):
 @_query("dispersion", """
     c as (select * from moments where person_id in (select person_id from people group by 1 having count(*) = 3)),
     z as (select min(var) as lo, (max(var) - min(var)) / 20 as w from c),
-    r as (select age_stop, var, floor((var - lo) / w)::bigint as raw from c, z),
-    b as (select age_stop, least(greatest(raw + case when var >= lo + w * (raw + 1) then 1 when var < lo + w * raw then -1 else 0 end, 0), 19) as bin from r, z),
+    b as (select age_stop, least(floor((var - lo) / w + 1e-9::double)::bigint, 19) as bin from c, z),
     s as (select age_stop, count(*) as n_group from c group by 1),
     g as (select s.*, x as bin from s, range(20) y(x)),
     f as (select g.age_stop, g.bin, count(b.bin) as n, n_group from g left join b on g.age_stop = b.age_stop and g.bin = b.bin group by all),

@@ -116,30 +116,33 @@ class Matcher:
         for end, (size, where) in self.machine.iter(text):
             for item, at in where:
                 diagonals.setdefault(item, set()).add(end + 1 - size - at)
-        out = []
-        for item in sorted(diagonals):
-            key, own, k = self.items[item]
-            best: tuple[int, int, int] | None = None
-            behind = -1
-            for d in sorted(diagonals[item]):
-                if text.startswith(own, d) and d >= 0:
-                    if len(own) >= self.piece or self._alone(text, d, d + len(own)):
-                        best = (0, d, d + len(own))
-                        break
-                    continue
-                if not k or d + len(own) + k <= behind:
-                    continue  # that stretch was searched
-                lo, hi = max(0, d - k), d + len(own) + k
-                if best and best[0] == 1:
-                    continue  # only an exact one is nearer
-                distance, end = myers(own, text[lo:hi])
-                behind = hi
-                if distance <= k and (best is None or distance < best[0]):
-                    back, size = myers(own[::-1], text[max(0, lo + end - len(own) - k) : lo + end][::-1])
-                    best = (distance, lo + end - size, lo + end)
-            if best:
-                out.append(Hit(key, *best))
-        return out
+        return [hit for item in sorted(diagonals) if (hit := self._nearest(text, item, sorted(diagonals[item])))]
+
+    def _nearest(self, text: str, item: int, starts: list[int]) -> Hit | None:
+        """starts: where the item would begin, by its piece hits. Stretches of the text that overlap are
+        searched as one, so no part is read more than once however many hits there are."""
+        key, own, k = self.items[item]
+        size = len(own)
+        if size < self.piece:
+            at = next((d for d in starts if self._alone(text, d, d + size)), None)
+            return None if at is None else Hit(key, 0, at, at + size)
+        stretches: list[list[int]] = []
+        for d in starts:
+            lo, hi = max(0, d - k), d + size + k
+            if stretches and lo <= stretches[-1][1]:
+                stretches[-1][1] = max(hi, stretches[-1][1])
+            else:
+                stretches.append([lo, hi])
+        for lo, hi in stretches:
+            if (at := text.find(own, lo, hi)) >= 0:
+                return Hit(key, 0, at, at + size)
+        best: Hit | None = None
+        for lo, hi in stretches if k else ():
+            distance, end = myers(own, text[lo:hi])
+            if distance <= k and (best is None or distance < best.distance):
+                _, back = myers(own[::-1], text[max(0, lo + end - size - k) : lo + end][::-1])
+                best = Hit(key, distance, lo + end - back, lo + end)
+        return best
 
     @staticmethod
     def _alone(text: str, start: int, end: int) -> bool:

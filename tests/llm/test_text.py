@@ -200,6 +200,7 @@ def test_main_text_of_broken_markup():
         '<section id="comments"><p>first!</p></section><script>if(a<b)</p></script><!-- no --><nav>n</nav>tail</main><div>out</div><footer>z'
     )
     assert html_extract.main_text(page).split("\n\n") == ["T & t", "a b cd", "e f", "1", "2", "x", "y", "tail"]
+    assert html_extract.main_text("<form><article>a<form>b</form></article><p>c</form>") == "a"
     assert html_extract.main_text("") == "" and html_extract.main_text("a < b &lt; c") == "a < b < c" and html_extract.main_text("<p>one<p>two") == "one\n\ntwo"
 
 

@@ -224,8 +224,8 @@ def blocks(root: Node, template: set[int]) -> list[str]:
 
     def seek(n: Node) -> None:
         for x in n.items:
-            if isinstance(x, Node) and not x.furniture:
-                if x.tag in MAIN:
+            if isinstance(x, Node) and (not x.furniture or x.tag == "form"):  # some sites put the whole page into a form
+                if x.tag in MAIN and not x.furniture:
                     mains.append(x)
                 else:
                     seek(x)

@@ -142,3 +142,21 @@ def test_near_duplicates_find_edited_copies_and_leave_others(spark):
     assert sum(got[100 + k] == k for k in range(30)) >= 29
     assert all(got[k] == k for k in range(60))
     assert simhash.drop_near_duplicates(docs).count() <= 61
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(t.split()[k : k + size]) for k in range(max(1, len(t.split()) - size + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_extended_and_shortened_copies_are_candidates(spark):
+    """Whole blocks appended or cut away, which move the set of words a lot."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    originals = [[word() for _ in range(200)] for _ in range(120)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(originals)]
+    rows += [(1000 + k, " ".join(w + [word() for _ in range(45)] if k % 2 else w[:162])) for k, w in enumerate(originals)]
+    text = dict(rows)
+    assert all(0.8 <= jaccard(text[k], text[1000 + k]) < 0.83 for k in range(120))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {x: x % 1000 for x in text}

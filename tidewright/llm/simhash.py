@@ -11,10 +11,11 @@ bucket, never as all its pairs. A bucket that outgrows BUCKET is dealt out again
 bits outside its mask: of r+1 blocks, a pair within the radius agrees on one. So no bucket is cut
 short, and no task holds more than BUCKET fingerprints of one.
 
-Near-duplicates by similarity use two fingerprints: one of the set of words finds candidates, since
-few edits move it little, and a wide one of the shingles tells how near they are. A bucket's forest
-is then its minimum spanning forest by the wide distance, so texts hang on their nearest relatives;
-edges that are neither surely near nor surely far are decided by their exact Jaccard similarity.
+Near-duplicates by similarity are found on keys of the shingle sets themselves, so that it doesn't
+matter where a text was edited, extended or cut: each of TABLES tables has a key made of MINIMA
+minima of random orders of the set, and two sets of Jaccard similarity J share a table's key with
+probability J^MINIMA. A wide fingerprint of the shingles orders the pairs of a bucket and rules out
+those that are far apart by any measure; every other link is decided by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -34,12 +35,17 @@ SEED = 42
 BUCKET = 4096
 #: Bits of the wide fingerprint that estimates similarity, as 64-bit words.
 WIDE = 4
-#: For near-duplicates by similarity: words of a shingle, least similarity, radius and parts of the
-#: word-set fingerprints that find candidates.
-WORDS, SIMILARITY, RADIUS, PARTS = 5, 0.8, 9, 2
-#: Standard deviations of the wide distance beyond which an edge needs no exact look, and document ids
+#: For near-duplicates by similarity: words of a shingle, least similarity, tables, and the minima that
+#: make a key. A pair of exactly this similarity shares no key with probability (1 - 0.8^5)^48 = 5e-9.
+WORDS, SIMILARITY, TABLES, MINIMA = 5, 0.8, 48, 5
+#: Standard deviations of the wide distance beyond which a pair needs no exact look, and document ids
 #: that are sent to all tasks; more are joined.
-DOUBT, SENT = 4.0, 2_000_000
+DOUBT, SENT = 6.0, 2_000_000
+#: Words of a point of near-duplicates: digest and size of the shingle set, wide fingerprint.
+SET = 2 + WIDE
+_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, TABLES * MINIMA, 1), np.uint64)
+_FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -101,24 +107,41 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", si
     return docs.select(F.col(key), text_of(docs[text]).alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
-def wide_fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS) -> DataFrame:
-    """(key, fp long, wide binary): fp is the SimHash of the set of words, wide that of the shingles
-    of size words in WIDE words of 64 bits."""
-    bounded_batches(docs.sparkSession)
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of a set of hashes in each table, no two tables having keys in common."""
+    least = np.full(TABLES * MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, ((hashes[at : at + 256] ^ _FLIP) * _ODD).min(1), out=least)
+    keys = np.arange(TABLES, dtype=np.uint64)
+    for k, x in enumerate(least.reshape(TABLES, MINIMA).T):
+        keys = _mixed(keys ^ x, k)
+    return keys
 
-    def one(t: str) -> tuple[int, bytes]:
-        words = words_of(t)
-        h = np.unique(shingle_hashes(words, size))
-        wide = np.array([majority(_mixed(h, k)) for k in range(WIDE)], ">u8")
-        return signed(majority(shingle_hashes(list(dict.fromkeys(words)), 1))), wide.tobytes()
+
+def set_of(text: str, size: int) -> tuple[np.ndarray, int]:
+    """The hashes of a text's shingles, sorted and without repeats, and their digest."""
+    from xxhash import xxh64_intdigest as digest
+
+    h = np.unique(shingle_hashes(words_of(text), size))
+    return h, digest(h.tobytes(), SEED)
+
+
+def set_points(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS) -> DataFrame:
+    """(key, point binary, keys array of long): digest, size and wide fingerprint of the set of shingles
+    of size words, in SET words of 64 bits, and its table keys; null without words."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [one(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=[key, "fp", "wide"])
+            points, keys = [], []
+            for t in b.column(1).to_pylist():
+                h, digest = set_of(t, size)
+                points.append(np.array([digest, len(h), *(majority(_mixed(h, k)) for k in range(WIDE))], ">u8").tobytes() if len(h) else None)
+                keys.append(table_keys(h).astype(np.int64) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[key, "point", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_of(docs[text]).alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp bigint, wide binary")
+    return docs.select(F.col(key), text_of(docs[text]).alias("_text")).mapInArrow(run, f"`{key}` {kind}, point binary, keys array<bigint>")
 
 
 # -- masks ----------------------------------------------------------------------------------------
@@ -145,12 +168,7 @@ def block_masks(fixed: int, radius: int, bits: int = 64) -> list[int]:
 
 
 # -- links ----------------------------------------------------------------------------------------
-# A point is a fingerprint as 8 bytes, big-endian, and after it the wide one if there is one.
-
-
-def _similar_bits(similarity: float, bits: int) -> int:
-    """Differing bits that a pair of this Jaccard similarity has on average: cosine is 2J/(1+J)."""
-    return round(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits))
+# A point is a fingerprint as 8 bytes, big-endian.
 
 
 def _point_array(column: pa.Array, width: int) -> np.ndarray:
@@ -185,31 +203,30 @@ def forest(points: np.ndarray, radius: int, most: int) -> list[tuple[int, int, i
     return edges
 
 
-def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, part, point) sorted by bucket in, rows (a, b, mask, bits) out: links, with mask null,
-    and the members of outgrown buckets as (point, null, mask, null)."""
-    out: list[list] = [[], [], [], []]
+def _scan(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, part, point) sorted by bucket in, rows (a, b, mask) out: links, with mask null, and
+    the members of outgrown buckets as (point, null, mask)."""
+    out: list[list] = [[], [], []]
     held: list[np.ndarray] = []
     now, size = None, 0
 
-    def tell(a: list, b: list, mask: int | None, bits: list) -> None:
+    def tell(a: list, b: list, mask: int | None) -> None:
         out[0].extend(a)
         out[1].extend(b)
         out[2].extend([mask] * len(a))
-        out[3].extend(bits)
 
     def close() -> None:
         if held and size >= 2:
             points = np.concatenate(held)
-            if edges := forest(points, radius, most):
+            if edges := forest(points, radius, 0):
                 raw = points.astype(">u8").tobytes()
-                one = [raw[8 * width * k : 8 * width * (k + 1)] for k in range(len(points))]
-                tell([one[x] for x, _, _ in edges], [one[y] for _, y, _ in edges], None, [d for _, _, d in edges])
+                one = [raw[8 * k : 8 * (k + 1)] for k in range(len(points))]
+                tell([one[x] for x, _, _ in edges], [one[y] for _, y, _ in edges], None)
         held.clear()
 
     def flush() -> pa.RecordBatch:
-        kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64()
-        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "b", "mask", "bits"])
+        kinds = pa.binary(), pa.binary(), pa.int64()
+        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "b", "mask"])
         for x in out:
             x.clear()
         return batch
@@ -217,7 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
     for b in batches:
         if not b.num_rows:
             continue
-        mask, part, points = b.column(0).to_numpy(), b.column(1).to_numpy(), _point_array(b.column(2), width)
+        mask, part, points = b.column(0).to_numpy(), b.column(1).to_numpy(), _point_array(b.column(2), 1)
         starts = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
         for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(mask)], strict=True):
             if (key := (mask[lo], part[lo])) != now:
@@ -227,8 +244,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
             held.append(points[lo:hi])
             if size > bucket:  # over the bound: all of it goes back
                 raw = np.concatenate(held).astype(">u8").tobytes()
-                again = [raw[k : k + 8 * width] for k in range(0, len(raw), 8 * width)]
-                tell(again, [None] * len(again), int(mask[lo]), [None] * len(again))
+                again = [raw[k : k + 8] for k in range(0, len(raw), 8)]
+                tell(again, [None] * len(again), int(mask[lo]))
                 held.clear()
             if len(out[0]) > 20_000:
                 yield flush()
@@ -236,9 +253,8 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, radius: int, most: int,
     yield flush()
 
 
-def links(points: DataFrame, width: int, radius: int, *, parts: int = 1, most: int = 0, bucket: int = BUCKET) -> DataFrame:
-    """points: distinct points of width words. Edges (a, b, bits) whose components are those of all
-    links; bits is the distance of the words after the first."""
+def links(points: DataFrame, radius: int, *, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
+    """points: distinct points. Edges (a, b) whose components are those of all links."""
     bounded_batches(points.sparkSession)
     each = lambda masks: F.array(*(F.lit(signed(m)) for m in masks))
     rows = points.select(F.explode(each(covering_masks(radius, parts))).alias("mask"), "point")
@@ -246,8 +262,8 @@ def links(points: DataFrame, width: int, radius: int, *, parts: int = 1, most: i
     while True:
         word = F.conv(F.hex(F.substring("point", 1, 8)), 16, -10).cast("long")
         dealt = rows.select("mask", word.bitwiseAND(F.col("mask")).alias("part"), "point").repartition("mask", "part").sortWithinPartitions("mask", "part")
-        done = cut(dealt.mapInArrow(lambda batches: _scan(batches, width, radius, most, bucket), "a binary, b binary, mask bigint, bits bigint"), "links")
-        linked = done.where("mask is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
+        done = cut(dealt.mapInArrow(lambda batches: _scan(batches, radius, bucket), "a binary, b binary, mask bigint"), "links")
+        linked = done.where("mask is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = linked if found is None else found.unionByName(linked)
         over = done.where("mask is not null").select(F.col("a").alias("point"), "mask")
         fixed = [r[0] for r in over.select("mask").distinct().collect()]  # masks, never more than were made
@@ -279,19 +295,87 @@ def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     own = own.select(key, hexed.alias("fingerprint"), F.unhex(hexed).alias("point"))
     points = own.groupBy("point").agg(F.min(key).alias("least"))
-    classes = _classes(points, links(points.select("point"), 1, radius, parts=parts, bucket=bucket), own.count())
+    classes = _classes(points, links(points.select("point"), radius, parts=parts, bucket=bucket), own.count())
     return own.join(classes, "point").select(key, "fingerprint", "component_id")
 
 
+# -- near-duplicates by similarity ----------------------------------------------------------------
+
+
+def far_bits(similarity: float) -> int:
+    """The wide distance that no pair of this similarity or more exceeds but by DOUBT standard
+    deviations. Large sets differ in arccos(2J/(1+J))/pi of the bits; small ones, of which a bit is a
+    majority of few, in up to a quarter more (4 of 5 shingles: 0.1875)."""
+    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * WIDE
+    return min(bits, round(p * bits + DOUBT * (p * (1 - p) * bits) ** 0.5))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[tuple, np.ndarray, int]]:
+    """Rows (numbers..., binary of width words), sorted by the numbers, in; for each run of two rows or
+    more of the same numbers these, its words, and 0. A run of over most rows comes in pieces, each of
+    which begins with the last row of the one before and has 1 for 0."""
+    now, held, size, again = None, [], 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = b.num_columns - 1
+        ids = np.stack([b.column(k).to_numpy() for k in range(last)])
+        words = _point_array(b.column(last), width)
+        bounds = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1, b.num_rows]
+        # Runs of one row inside a batch are passed over; the first and the last may go on in another.
+        for k in np.unique(np.r_[0, np.flatnonzero(np.diff(bounds) > 1), len(bounds) - 2]).tolist():
+            lo, hi = int(bounds[k]), int(bounds[k + 1])
+            key = tuple(ids[:, lo].tolist())
+            if key != now:
+                if size > 1:
+                    yield now, np.concatenate(held), again
+                now, held, size, again = key, [], 0, 0
+            held.append(words[lo:hi])
+            size += hi - lo
+            while size > most:
+                joined = np.concatenate(held)
+                yield now, joined[:most], again
+                held, size, again = [joined[most - 1 :]], size - most + 1, 1
+    if size > 1:
+        yield now, np.concatenate(held), again
+
+
+def _cells(words: np.ndarray) -> list[bytes]:
+    raw, step = words.astype(">u8").tobytes(), 8 * words.shape[1]
+    return [raw[k : k + step] for k in range(0, len(raw), step)]
+
+
+def _first_links(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, point) sorted by bucket in, rows (a, b, part) out: edges of the minimum spanning
+    forests by wide distance, with part null, and the members of buckets of two or more as (point,
+    null, part). A bucket's pieces of bucket rows are spanned one by one."""
+    for (part,), words, again in _runs(batches, SET, bucket):
+        edges = forest(np.c_[np.zeros(len(words), np.uint64), words[:, 2:]], 0, most)
+        cells = _cells(words)
+        a = [*(cells[x] for x, _, _ in edges), *cells[again:]]
+        b = [*(cells[y] for _, y, _ in edges), *[None] * (len(cells) - again)]
+        parts = [*[None] * len(edges), *[part] * (len(cells) - again)]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(parts, pa.int64())], names=["a", "b", "part"])
+
+
 def _shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, size: int) -> DataFrame:
-    """(point, shingles) of the rows whose key wanted (key, point) has: sorted 32-bit hashes."""
+    """(point, shingles) of the points of wanted (key, point), each a row's with that key: sorted 32-bit
+    hashes. Other texts under the same key are told by their digests."""
     few = wanted.count() <= SENT
-    rows = docs.select(F.col(key).alias("_k"), text_of(docs[text]).alias("_t")).join(F.broadcast(wanted) if few else wanted, "_k")
+    rows = docs.select(F.col(key).alias("_own"), text_of(docs[text]).alias("_t"))
+    wanted = F.broadcast(wanted) if few else wanted
+    rows = rows.join(wanted, rows["_own"].eqNullSafe(wanted["_k"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["point", "shingles"])
+            points, sets = [], []
+            for point, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, digest = set_of(t, size)
+                if digest == int.from_bytes(point[:8], "big"):
+                    points.append(point)
+                    sets.append(np.unique(h.astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(points, pa.binary()), pa.array(sets, pa.binary())], names=["point", "shingles"])
 
     return cut(rows.select("point", "_t").mapInArrow(run, "point binary, shingles binary").dropDuplicates(["point"]), "sets")
 
@@ -312,23 +396,22 @@ def _jaccard(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(key, component_id) for each row of docs: rows link whose sets of shingles of size words have the
-    Jaccard similarity or more, among those whose word sets have fingerprints within the radius.
-    component_id is the smallest key that links reach. Rows without words are in no component and have
-    their own key; nulls, repeats and empty tables as in components()."""
-    own = cut(wide_fingerprints(docs, text=text, key=key, size=size), "wide")
-    own = own.select(key, F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("wide")).alias("point"))
-    points = own.where(F.col("point") != F.lit(bytes(8 * (WIDE + 1)))).groupBy("point").agg(F.min(key).alias("least"))
-    bits = 64 * WIDE
-    mean = _similar_bits(similarity, bits)
-    doubt = DOUBT * (mean * (1 - mean / bits)) ** 0.5
-    edges = cut(links(points.select("point"), WIDE + 1, radius, parts=parts, most=round(mean + doubt), bucket=bucket), "edges")
-    unsure = edges.where(F.col("bits") > mean - doubt)
-    ends = unsure.select(F.col("a").alias("point")).unionByName(unsure.select(F.col("b").alias("point"))).distinct()
-    wanted = cut(points.join(ends, "point").where("least is not null").select(F.col("least").alias("_k"), "point"), "wanted")
-    near = edges.where(F.col("bits") <= mean - doubt).select("a", "b").unionByName(_jaccard(unsure, _shingle_sets(docs, text, key, wanted, size), similarity))
-    return own.join(_classes(points, near, own.count()), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
+    Jaccard similarity or more, among those that share a table's key. component_id is the smallest key
+    that links reach. Rows without words are in no component and have their own key; nulls, repeats
+    and empty tables as in components()."""
+    own = cut(set_points(docs, text=text, key=key, size=size), "points")
+    points = cut(own.where("point is not null").groupBy("point", "keys").agg(F.min(key).alias("least")), "distinct")
+    most, count = far_bits(similarity), own.count()
+    dealt = points.select(F.explode("keys").alias("part"), "point").repartition("part").sortWithinPartitions("part")
+    done = cut(dealt.mapInArrow(lambda batches: _first_links(batches, most, bucket), "a binary, b binary, part bigint"), "first")
+    members = done.where("part is not null").select("part", F.col("a").alias("point"))
+    edges = cut(done.where("part is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    wanted = cut(points.join(members.select("point").distinct(), "point").select(F.col("least").alias("_k"), "point"), "wanted")
+    sets = _shingle_sets(docs, text, key, wanted, size)
+    near = cut(_jaccard(edges, sets, similarity), "near")
+    return own.join(_classes(points.select("point", "least"), near, count), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

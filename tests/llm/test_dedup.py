@@ -160,3 +160,34 @@ def test_extended_and_shortened_copies_are_candidates(spark):
     assert all(0.8 <= jaccard(text[k], text[1000 + k]) < 0.83 for k in range(120))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {x: x % 1000 for x in text}
+
+
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_families_of_related_copies_match_brute_force(spark, bucket):
+    """Many edited copies of one text, near the similarity: which pairs link is decided for each."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for family, edits in enumerate((3, 4, 5)):
+        base = [word() for _ in range(200)]
+        for k in range(100):
+            own = list(base)
+            for at in rnd.sample(range(200), edits):
+                own[at] = word()
+            rows.append((1000 * family + k, " ".join(own)))
+    label = {k: k for k, _ in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    sets = [(k, {tuple(t.split()[i : i + 5]) for i in range(196)}) for k, t in rows]
+    for i, (k, x) in enumerate(sets):
+        for m, y in sets[:i]:
+            if len(x & y) >= 0.8 * len(x | y):
+                a, b = find(k), find(m)
+                label[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=bucket).collect()}
+    assert got == {k: find(k) for k, _ in rows}
+    assert 10 < len(set(got.values())) < 290

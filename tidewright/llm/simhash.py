@@ -15,7 +15,10 @@ Near-duplicates by similarity are found on keys of the shingle sets themselves,
 matter where a text was edited, extended or cut: each of TABLES tables has a key made of MINIMA
 minima of random orders of the set, and two sets of Jaccard similarity J share a table's key with
 probability J^MINIMA. A wide fingerprint of the shingles orders the pairs of a bucket and rules out
-those that are far apart by any measure; every other link is decided by exact Jaccard similarity.
+those that are far apart by any measure; every other link is decided by exact Jaccard similarity:
+first the edges of each bucket's minimum spanning forest, which unite most texts that belong together,
+then all pairs of a bucket whose texts these leave in different components. So each pair that shares a
+key is linked, refuted, or in one component by other links.
 """
 
 from __future__ import annotations
@@ -350,13 +353,70 @@ def _first_links(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> I
     """Rows (part, point) sorted by bucket in, rows (a, b, part) out: edges of the minimum spanning
     forests by wide distance, with part null, and the members of buckets of two or more as (point,
     null, part). A bucket's pieces of bucket rows are spanned one by one."""
+    a, b, parts = [], [], []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(parts, pa.int64())], names=["a", "b", "part"])
+        for x in (a, b, parts):
+            x.clear()
+        return batch
+
     for (part,), words, again in _runs(batches, SET, bucket):
         edges = forest(np.c_[np.zeros(len(words), np.uint64), words[:, 2:]], 0, most)
         cells = _cells(words)
-        a = [*(cells[x] for x, _, _ in edges), *cells[again:]]
-        b = [*(cells[y] for _, y, _ in edges), *[None] * (len(cells) - again)]
-        parts = [*[None] * len(edges), *[part] * (len(cells) - again)]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(parts, pa.int64())], names=["a", "b", "part"])
+        a += [*(cells[x] for x, _, _ in edges), *cells[again:]]
+        b += [*(cells[y] for _, y, _ in edges), *[None] * (len(cells) - again)]
+        parts += [*[None] * len(edges), *[part] * (len(cells) - again)]
+        if len(a) > 20_000:
+            yield flush()
+    yield flush()
+
+
+def _other_links(batches: Iterator[pa.RecordBatch], similarity: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, i, k, share ‖ point ‖ root) sorted by the first three in, rows (a, b) out: the pairs
+    of points of different roots, one in share i and the other in share k of a bucket, that neither
+    their sizes nor their wide distance rule out."""
+    a, b = [], []
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        a.clear()
+        b.clear()
+        return batch
+
+    for (_, i, k), words, _ in _runs(batches, 1 + 2 * SET, 1 << 62):
+        share, points, roots = words[:, 0], words[:, 1 : 1 + SET], words[:, 1 + SET :]
+        size, wide = points[:, 1].astype(np.float64), np.ascontiguousarray(points[:, 2:])
+        cells = _cells(points)
+        for at in range(len(words) - 1):
+            rest = slice(at + 1, None)
+            ok = (roots[rest] != roots[at]).any(1) & (np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]))
+            if i != k:
+                ok &= share[rest] != share[at]
+            found = np.flatnonzero(ok) + at + 1
+            found = found[np.bitwise_count(wide[found] ^ wide[at]).sum(1, dtype=np.int64) <= most]
+            a.extend([cells[at]] * len(found))
+            b.extend(cells[x] for x in found.tolist())
+            if len(a) > 20_000:
+                yield flush()
+    yield flush()
+
+
+def _untried(members: DataFrame, near: DataFrame, tried: DataFrame, similarity: float, most: int, bucket: int) -> DataFrame:
+    """All candidate pairs (a, b) of one bucket whose points near leaves in different components, without
+    those tried. A bucket of over half of bucket points is dealt out by pairs of shares."""
+    member = connected_components(near)
+    placed = members.join(member, members["point"] == member["node"], "left").select("part", "point", F.coalesce("root", "point").alias("root"))
+    placed = cut(placed, "placed")
+    root = F.xxhash64("root")
+    mixed = placed.groupBy("part").agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    shares = F.ceil(F.col("n") * 2 / bucket).cast("long")
+    open_ = placed.join(mixed.select("part", shares.alias("shares")), "part").withColumn("own", F.pmod(F.xxhash64("point"), F.col("shares")))
+    open_ = open_.select("part", "point", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
+    words = F.concat(F.unhex(F.lpad(F.hex("own"), 16, "0")), "point", "root").alias("words")
+    dealt = open_.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), words).repartition("part", "i", "k").sortWithinPartitions("part", "i", "k")
+    pairs = dealt.mapInArrow(lambda batches: _other_links(batches, similarity, most), "a binary, b binary")
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "untried")
 
 
 def _shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -411,6 +471,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     wanted = cut(points.join(members.select("point").distinct(), "point").select(F.col("least").alias("_k"), "point"), "wanted")
     sets = _shingle_sets(docs, text, key, wanted, size)
     near = cut(_jaccard(edges, sets, similarity), "near")
+    # Whatever the forests left open: after it each pair of a bucket is linked, refuted or in one component.
+    near = near.unionByName(_jaccard(_untried(members, near, edges, similarity, most, bucket), sets, similarity))
     return own.join(_classes(points.select("point", "least"), near, count), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 

@@ -191,3 +191,12 @@ def test_families_of_related_copies_match_brute_force(spark, bucket):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=bucket).collect()}
     assert got == {k: find(k) for k, _ in rows}
     assert 10 < len(set(got.values())) < 290
+
+
+def test_hot_group_of_pages_that_differ_in_a_number(spark):
+    """More distinct texts than a bucket holds, nearly all with the same set of words."""
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(248)]
+    rows = [(k, " ".join([*words[:100], str(k), *words[100:200], str(7 * k), *words[200:]])) for k in range(600)] + [(9999, "some other page of no group at all")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=32).collect()}
+    assert got == {k: 9999 if k == 9999 else 0 for k, _ in rows}

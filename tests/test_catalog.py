@@ -77,3 +77,9 @@ def test_broken_modules_are_not_hidden(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", broken)
     with pytest.raises(ModuleNotFoundError):
         __spark_entry__._optional("tidewright.llm.queries")
+
+
+def test_null_band_runs_all_simulations(spark, sf):
+    from tidewright.plans.catalog import QUERIES
+
+    assert {r["n_sims"] for r in QUERIES["null_band"](spark, sf).collect()} == {200}

@@ -382,7 +382,7 @@ def _(t):
 
 @_query("null_band")
 def _(t):
-    return replicates.null_band(replicates.summary(t.evaluated), n_sims=100)
+    return replicates.null_band(replicates.summary(t.evaluated))
 
 
 # -- survival -------------------------------------------------------------------------------------

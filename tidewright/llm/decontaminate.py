@@ -2,8 +2,11 @@
 
 With an error budget of k edits, a test item is split into k + 1 pieces: an occurrence within the
 budget leaves at least one piece untouched. One automaton finds all exact pieces of all items in a
-pass over each text; around each piece hit, Myers' bit-parallel algorithm computes the edit distance
-of the whole item to the nearest stretch of the text.
+pass over each text; around piece hits, Myers' bit-parallel algorithm computes the edit distance of the
+whole item to the stretch of the text that ends at each place.
+
+Occurrences of an item don't overlap and are taken from left to right: from the first end within the
+budget of k edits on, the nearest end among 2k further places, then what lies behind it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewright.llm.common import bounded_batches, fresh, text_of, with_text
 
@@ -48,15 +52,13 @@ def _masks(item: str) -> dict[str, int]:
     return out
 
 
-def myers(item: str, text: str) -> tuple[int, int]:
-    """(distance, end) of the stretch of text nearest to item, the first such end."""
+def distances(item: str, text: str) -> Iterator[int]:
+    """For each place of text, the least edit distance of item to a stretch that ends behind it. item
+    isn't empty."""
     m = len(item)
-    if not m:
-        return 0, 0
     masks, full, top = _masks(item), (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best, end = m, 0
-    for at, c in enumerate(text, 1):
+    for c in text:
         eq = masks.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -66,17 +68,39 @@ def myers(item: str, text: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-            if score < best:
-                best, end = score, at
+        yield score
         ph, mh = ph << 1 & full, mh << 1 & full
         plus = mh | (full & ~(xv | ph))
         minus = ph & xv
+
+
+def myers(item: str, text: str) -> tuple[int, int]:
+    """(distance, end) of the stretch of text nearest to item, the first such end; the empty stretch
+    at 0 counts."""
+    best, end = len(item), 0
+    for at, score in enumerate(distances(item, text) if item else (), 1):
+        if score < best:
+            best, end = score, at
     return best, end
 
 
+def first_within(item: str, text: str, k: int) -> tuple[int, int] | None:
+    """(distance, end): from the first end within k edits on, the nearest among 2k further places, which
+    all belong to one occurrence."""
+    best, end, last = k + 1, 0, len(text)
+    for at, score in enumerate(distances(item, text), 1):
+        if score < best:
+            if best > k:
+                last = at + 2 * k
+            best, end = score, at
+        if at == last or not best:
+            break
+    return (best, end) if best <= k else None
+
+
 @dataclasses.dataclass(frozen=True)
 class Hit:
-    item: int
+    item: object
     distance: int
     start: int
     end: int
@@ -85,10 +109,10 @@ class Hit:
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], piece: int = PIECE):
+    def __init__(self, items: list[tuple[object, str]], piece: int = PIECE):
         import ahocorasick
 
-        self.items: list[tuple[int, str, int]] = []
+        self.items: list[tuple[object, str, int]] = []
         found: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             text = normalised(text)
@@ -107,8 +131,8 @@ class Matcher:
         self.piece = piece
 
     def search(self, text: str) -> list[Hit]:
-        """The nearest occurrence of each item that text has within the item's budget, the first of
-        equally near ones. Items shorter than a piece must stand between word ends."""
+        """The occurrences of each item within its budget, by item and place. Items shorter than a piece
+        must stand between word ends."""
         if self.empty:
             return []
         text = normalised(text)
@@ -116,33 +140,33 @@ class Matcher:
         for end, (size, where) in self.machine.iter(text):
             for item, at in where:
                 diagonals.setdefault(item, set()).add(end + 1 - size - at)
-        return [hit for item in sorted(diagonals) if (hit := self._nearest(text, item, sorted(diagonals[item])))]
+        return [hit for item in sorted(diagonals) for hit in self._occurrences(text, item, sorted(diagonals[item]))]
 
-    def _nearest(self, text: str, item: int, starts: list[int]) -> Hit | None:
+    def _occurrences(self, text: str, item: int, starts: list[int]) -> Iterator[Hit]:
         """starts: where the item would begin, by its piece hits. Stretches of the text that overlap are
-        searched as one, so no part is read more than once however many hits there are."""
+        searched as one, so no part is read more than a few times however many hits there are."""
         key, own, k = self.items[item]
         size = len(own)
         if size < self.piece:
-            at = next((d for d in starts if self._alone(text, d, d + size)), None)
-            return None if at is None else Hit(key, 0, at, at + size)
+            behind = 0
+            for d in starts:
+                if d >= behind and self._alone(text, d, d + size):
+                    behind = d + size
+                    yield Hit(key, 0, d, behind)
+            return
         stretches: list[list[int]] = []
         for d in starts:
-            lo, hi = max(0, d - k), d + size + k
+            lo, hi = max(0, d - k), min(len(text), d + size + k)
             if stretches and lo <= stretches[-1][1]:
                 stretches[-1][1] = max(hi, stretches[-1][1])
             else:
                 stretches.append([lo, hi])
         for lo, hi in stretches:
-            if (at := text.find(own, lo, hi)) >= 0:
-                return Hit(key, 0, at, at + size)
-        best: Hit | None = None
-        for lo, hi in stretches if k else ():
-            distance, end = myers(own, text[lo:hi])
-            if distance <= k and (best is None or distance < best.distance):
-                _, back = myers(own[::-1], text[max(0, lo + end - size - k) : lo + end][::-1])
-                best = Hit(key, distance, lo + end - back, lo + end)
-        return best
+            while hi - lo >= size - k and (found := first_within(own, text[lo:hi], k)):
+                distance, end = found
+                _, back = myers(own[::-1], text[max(lo, lo + end - size - k) : lo + end][::-1]) if distance else (0, size)
+                yield Hit(key, distance, lo + end - back, lo + end)
+                lo += end
 
     @staticmethod
     def _alone(text: str, start: int, end: int) -> bool:
@@ -150,14 +174,14 @@ class Matcher:
 
 
 @functools.lru_cache(4)
-def _matcher(items: tuple[tuple[int, str], ...], piece: int) -> Matcher:
+def _matcher(items: tuple[tuple[object, str], ...], piece: int) -> Matcher:
     return Matcher(list(items), piece)
 
 
-def blocks_of(benchmark: DataFrame, text: str, key: str, block: int) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame, text: str, key: str, block: int) -> Iterator[list[tuple[object, str]]]:
     """The items, in blocks of bounded size."""
     held, size = [], 0
-    for row in benchmark.select(F.col(key).cast("long").alias("k"), text_of(benchmark[text]).alias("t")).where("t <> ''").distinct().orderBy("k", "t").toLocalIterator():
+    for row in benchmark.select(F.col(key).alias("k"), text_of(benchmark[text]).alias("t")).where("t <> ''").distinct().orderBy("k", "t").toLocalIterator():
         if held and size + len(row["t"]) > block:
             yield held
             held, size = [], 0
@@ -167,35 +191,33 @@ def blocks_of(benchmark: DataFrame, text: str, key: str, block: int) -> Iterator
         yield held
 
 
-_HIT = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
-
-
 def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "item_id", item_text: str = "text", piece: int = PIECE, block: int = BLOCK) -> DataFrame:
-    """docs with leaks: for each item that occurs in the text within its error budget (item_id,
+    """docs with leaks: for each occurrence of an item in the text within its error budget (item_id,
     distance, start, end), the place in code points of the normalised text.
 
-    Null texts count as empty and have no leaks; empty items are found nowhere; a null item_id stays
-    null; items that repeat with one id and text count once; an empty benchmark or documents table
-    gives empty lists or an empty result. Texts and items are read whole. A column named leaks is
-    replaced.
+    Null texts count as empty and have no leaks; empty items are found nowhere; item_id has the type that
+    the benchmark gives it, and a null one stays null; items that repeat with one id and text count
+    once; an empty benchmark or documents table gives empty lists or an empty result. Texts and items
+    are read whole. A column named leaks is replaced.
     """
     return _found(docs, benchmark, "leaks", text, key, item_text, piece, block)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, name: str, text: str, key: str, item_text: str, piece: int, block: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    out = docs.drop(name).withColumn(name, F.array().cast(_HIT))
+    kind = benchmark.schema[key].dataType
+    out = docs.drop(name).withColumn(name, F.array().cast(f"array<struct<item_id:{kind.simpleString()},distance:int,start:bigint,end:bigint>>"))
     for items in blocks_of(benchmark, item_text, key, block):
-        out = _searched(out, docs.sparkSession.sparkContext.broadcast(tuple(items)), text, piece)
+        out = _searched(out, docs.sparkSession.sparkContext.broadcast(tuple(items)), text, piece, to_arrow_type(kind))
     return out
 
 
-def _searched(docs: DataFrame, shared, text: str, piece: int) -> DataFrame:
+def _searched(docs: DataFrame, shared, text: str, piece: int, id_kind: pa.DataType) -> DataFrame:
     """docs, whose last column lists what was found before, with what this block of items adds."""
+    kind = pa.list_(pa.struct([("item_id", id_kind), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared.value, piece)
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             *rest, before, texts = b.columns
             out = []
@@ -207,6 +229,7 @@ def _searched(docs: DataFrame, shared, text: str, piece: int) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "item_id", item_text: str = "text", piece: int = PIECE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs without any occurrence of a test item, with all their columns."""
+    """The rows of docs without any occurrence of a test item, with all their columns; nulls, repeats
+    and empty tables as in find()."""
     name = fresh(docs.columns, "_leaks")
     return _found(docs, benchmark, name, text, key, item_text, piece, block).where(F.size(name) == 0).drop(name)

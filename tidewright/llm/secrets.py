@@ -9,6 +9,7 @@ begin, its own automaton finds the longest end, and the search goes on behind it
 
 from __future__ import annotations
 
+import array
 import dataclasses
 import functools
 from collections.abc import Iterator
@@ -311,40 +312,44 @@ class Scanner:
                 break
         return end
 
-    def scan(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(begin, rule, end) in bytes, by begin and then rule: of each rule the leftmost
-        non-overlapping longest matches, without those that are too short."""
+    def begins_of(self, text: bytes) -> list[array.array]:
+        """For each rule where its matches may begin, from right to left: the last and the first place
+        of each stretch of neighbouring begins, so that a long run takes no memory."""
         machine = self.begins
-        step, accepting, state = machine.step, machine.accepting, machine.start
-        hits = []
+        step, accepting, state, width = machine.step, machine.accepting, machine.start, machine.width
+        found = [array.array("q") for _ in self.rules]
+        marked = [tuple(found[k] for k in range(len(found)) if m >> k & 1) for m in machine.marks]
         data = text.translate(machine.classes)
         at = len(data)
         for c in reversed(data):
             at -= 1
             state = step[state + c]
             if state >= accepting:
-                hits.append((at, state))
-        if not hits:
-            return []
+                for own in marked[state // width]:
+                    if own and own[-1] == at + 1:
+                        own[-1] = at
+                    else:
+                        own.append(at)
+                        own.append(at)
+        return found
+
+    def scan(self, text: bytes) -> list[tuple[int, int, int]]:
+        """(begin, rule, end) in bytes, by begin and then rule: of each rule the leftmost
+        non-overlapping longest matches, without those that are too short."""
         found = []
-        by_rule: list[list[int]] = [[] for _ in self.rules]
-        for at, state in reversed(hits):
-            mark = machine.marks[state // machine.width]
-            for k in range(len(self.rules)):
-                if mark >> k & 1:
-                    by_rule[k].append(at)
-        for k, begins in enumerate(by_rule):
-            if not begins:
+        for k, stretches in enumerate(self.begins_of(text)):
+            if not stretches:
                 continue
             rule, behind = self.rules[k], 0
             own = text.translate(self.ends[k].classes)
             head = text.translate(self.heads[k].classes) if rule.least_tail else b""
-            for at in begins:
-                if at < behind:
-                    continue
-                end = behind = self.longest(self.ends[k], own, at)
-                if end - at >= rule.least and (not rule.least_tail or end - self.longest(self.heads[k], head, at) >= rule.least_tail):
-                    found.append((at, k, end))
+            for x in range(len(stretches) - 2, -1, -2):
+                last, at = stretches[x], max(stretches[x + 1], behind)
+                while at <= last:
+                    end = behind = self.longest(self.ends[k], own, at)
+                    if end - at >= rule.least and (not rule.least_tail or end - self.longest(self.heads[k], head, at) >= rule.least_tail):
+                        found.append((at, k, end))
+                    at = max(end, at + 1)
         return sorted(found)
 
 

@@ -2,8 +2,9 @@
 
 A ranks file is turned into that library's model: bytes map to the printable characters of the
 byte-level alphabet, and every way to join two tokens into a third becomes a merge, ordered by the
-rank of the third. So the library merges what a ranks-based tokenizer would. Decoding reverses the
-byte table; a token may end inside a character, so bytes are joined first and decoded after.
+rank of the third. So the library merges what a ranks-based tokenizer would. Decoding takes the
+library's tokens and reverses the byte table; a token may end inside a character, so bytes are joined
+first and read as characters after. Tokens that share a character both cover it in their offsets.
 """
 
 from __future__ import annotations
@@ -72,35 +73,43 @@ def _memory(pattern: str, path: str) -> tuple:
 
 @functools.cache
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id; ids that the file leaves out have none."""
-    ranks = load_ranks(path)
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
-
-
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32 bits. In texts of common characters the pieces
-    are found first, and only those not met before go through the library: words repeat."""
+    """The bytes of each id: the characters of the library's token, by the byte table reversed. Ids that
+    the file leaves out have none."""
+    back = {c: b for b, c in enumerate(byte_table())}
+    tokenizer = build_tokenizer(path, None)
+    shown = (tokenizer.id_to_token(k) for k in range(max(load_ranks(path).values(), default=-1) + 1))
+    return [bytes(map(back.__getitem__, x or "")) for x in shown]
+
+
+def encode_texts(texts: list[str], path: str, pattern: str) -> list[tuple[bytes, bytes]]:
+    """Of each text the ids and, for each token, the start and end of the code points that it covers or
+    shares, all as little-endian unsigned 32 bits. In texts of common characters the pieces are found
+    first, and only those not met before go through the library: words repeat."""
     finder, odd, memory = _memory(pattern, path)
     plain = [finder is not None and not odd.search(text) for text in texts]
-    rest = iter(encode_with_offsets([t for t, p in zip(texts, plain, strict=True) if not p], path, pattern)[0])
+    rest = iter(encode_whole([t for t, p in zip(texts, plain, strict=True) if not p], path, pattern))
     pieces = [finder.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
     new = list({p for found in pieces if found for p in found if p not in memory})
     if len(memory) + len(new) > REMEMBERED:
         memory.clear()
         new = list({p for found in pieces if found for p in found})
     if new:
-        for piece, x in zip(new, build_tokenizer(path, None).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memory[piece] = np.array(x.ids, dtype="<u4").tobytes()
-    return [next(rest) if found is None else b"".join([memory[p] for p in found]) for found in pieces]
+        memory.update(zip(new, encode_whole(new, path, None), strict=True))
+    return [next(rest) if found is None else _joined([memory[p] for p in found], found) for found in pieces]
+
+
+def _joined(parts: list[tuple[bytes, bytes]], pieces: list[str]) -> tuple[bytes, bytes]:
+    ids = b"".join([x for x, _ in parts])
+    spans = np.frombuffer(b"".join([x for _, x in parts]), "<u4")
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    counts = np.fromiter([len(x) for _, x in parts], np.int64, len(parts)) // 4
+    return ids, (spans + np.repeat(np.cumsum(sizes) - sizes, counts).astype("<u4")).tobytes()
 
 
-def encode_with_offsets(texts: list[str], path: str, pattern: str) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-    """Ids as above and, for each token, the (start, end) code points that it covers or shares."""
+def encode_whole(texts: list[str], path: str, pattern: str | None) -> list[tuple[bytes, bytes]]:
+    """The same by the library alone."""
     found = build_tokenizer(path, pattern).encode_batch(texts, add_special_tokens=False)
-    return [np.array(x.ids, dtype="<u4").tobytes() for x in found], [x.offsets for x in found]
+    return [(np.array(x.ids, dtype="<u4").tobytes(), np.array(x.offsets, dtype="<u4").tobytes()) for x in found]
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
@@ -115,28 +124,31 @@ def _one_thread() -> None:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = False) -> DataFrame:
-    """docs with ids_le (binary, each id as little-endian unsigned 32 bits), n_tokens and, if asked
-    for, offsets (array of start and end in code points). Null texts count as empty and have no
-    tokens. Columns of docs that bear one of these names are replaced."""
+    """docs with ids_le (binary, each id as little-endian unsigned 32 bits), n_tokens and, if asked for,
+    offsets_le (binary, start and end in code points of each token, written alike). Null texts count
+    as empty and have no tokens; repeated rows are encoded each; an empty table gives an empty result.
+    Columns of docs that bear one of these names are replaced."""
     return _mapped(docs, path, pattern, text, offsets, False)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """docs with ids_le, n_tokens and decoded (binary): encoding and, from the ids alone, decoding."""
-    return _mapped(docs, path, pattern, text, False, True)
+def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = False) -> DataFrame:
+    """The same with decoded (binary), made from the ids alone."""
+    return _mapped(docs, path, pattern, text, offsets, True)
 
 
 def decode(docs: DataFrame, path: str, *, ids: str = "ids_le") -> DataFrame:
-    """docs with decoded (binary) made from ids_le; null ids give empty bytes."""
+    """docs with decoded (binary) made from ids_le, and decoded_text, in which a character of which ids
+    have only a part is U+FFFD. Null ids give empty ones; columns named so before are replaced."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [decode_ids(x or b"", path) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])
+            more = [pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "decoded", "decoded_text"])
 
-    kept = docs.drop("decoded")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded binary"])
+    kept = docs.drop("decoded", "decoded_text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded binary", "decoded_text string"])
     return kept.withColumn(fresh(kept.columns, "_ids"), F.col(ids)).mapInArrow(run, schema)
 
 
@@ -148,15 +160,14 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, offsets: bool,
         for whole in batches:
             for at in range(0, whole.num_rows, CALL_ROWS):
                 batch = whole.slice(at, CALL_ROWS)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                ids, spans = encode_with_offsets(texts, path, pattern) if offsets else (encode_texts(texts, path, pattern), [])
-                more = {"ids_le": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                found = encode_texts(batch.column(batch.num_columns - 1).to_pylist(), path, pattern)
+                more = {"ids_le": pa.array([x for x, _ in found], pa.binary()), "n_tokens": pa.array([len(x) // 4 for x, _ in found], pa.int64())}
                 if offsets:
-                    more["offsets"] = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    more["offsets_le"] = pa.array([x for _, x in found], pa.binary())
                 if back:
-                    more["decoded"] = pa.array([decode_ids(x, path) for x in ids], pa.binary())
+                    more["decoded"] = pa.array([decode_ids(x, path) for x, _ in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more.values()], names=[*batch.schema.names[:-1], *more])
 
-    added = ["ids_le binary", "n_tokens bigint"] + ["offsets array<struct<start:int,end:int>>"] * offsets + ["decoded binary"] * back
+    added = ["ids_le binary", "n_tokens bigint"] + ["offsets_le binary"] * offsets + ["decoded binary"] * back
     rows, types = with_text(docs, text, tuple(x.split()[0] for x in added))
     return rows.mapInArrow(run, ", ".join([*types, *added]))

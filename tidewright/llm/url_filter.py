@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import ascii_lower, cut
 from tidewright.llm.components import connected_components
 
-#: Up to so many rules become one expression; more are joined by host.
+#: Up to so many rules become one expression; more are joined, with the same result.
 INLINE_RULES = 200
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*['"]?([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\srel\s*=\s*["']?canonical\b)[^>]*\shref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*["']?refresh\b)[^>]*\scontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*['"]?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -34,10 +34,60 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The url as a node of the alias graph: host, path and query. Scheme and fragment don't tell
-    resources apart. Null without ://."""
+    """The url as a node of the alias graph: host, path and query. Scheme, fragment and the scheme's
+    default port don't tell resources apart, nor does an empty path from /, nor . and .. inside a
+    path. Null without ://."""
+    host = host_of(url)
+    scheme = ascii_lower(F.substring_index(url, "://", 1))
+    bare = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(F.regexp_replace(host, ":$", ""))
+    path = path_of(url)
     query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)?", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), query))
+    return F.when(url.contains("://"), F.concat(bare, F.when(path == "", "/").otherwise(without_dots(path)), query))
+
+
+def without_dots(path: Column) -> Column:
+    """The path, which begins with /, with . and .. resolved; .. above the root is left out."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), empty, step)
+    # A path that ends in . or .. names a folder.
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def decoded(link: Column) -> Column:
+    """An attribute's value with its numeric character references and the named ones that markup itself
+    needs; white space around it is no part of it."""
+    point = lambda hexa: F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
+
+    def piece(x: Column) -> Column:
+        number, rest = F.regexp_extract(x, r"^#([xX][0-9a-fA-F]{1,5}|[0-9]{1,6});", 1), F.regexp_replace(x, r"^#[0-9xXa-fA-F]*;", "")
+        hexa = F.when(number.rlike("^[xX]"), F.substring(number, 2, 8)).otherwise(F.hex(number.cast("long")))
+        return F.when(number == "", F.concat(F.lit("&"), x)).otherwise(F.concat(point(hexa), rest))
+
+    parts = F.split(link, "&(?=#)")
+    link = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+    for name, sign in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        link = F.replace(link, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(link)
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """The url that a link names on the page base; null for links that name no page on a host. A link is
+    absolute only if a scheme and :// begin it, whatever stands in its query."""
+    scheme, host, path = F.substring_index(base, "://", 1), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1), path_of(base)
+    root = F.concat(scheme, F.lit("://"), host)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .when((link == "") | link.startswith("#"), base)
+        .otherwise(F.concat(root, folder, link))
+    )
 
 
 def split_rules(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
@@ -54,24 +104,23 @@ def split_rules(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str, str, s
 def _inline(df: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
     """The longest rule that fits host and path; of equally long ones allow, then the smaller."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, host, path, text in sorted(rules, key=lambda r: (len(r[3]), r[0] == "allow", [-ord(c) for c in r[3]])):
+    for v, host, path, text in sorted(sorted(rules, key=lambda r: r[3], reverse=True), key=lambda r: (len(r[3]), r[0] == "allow")):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
     return df.withColumns({"rule": rule, "own": verdict})
 
 
 def _joined(df: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """The same by an equi-join: each distinct host meets the rules of its suffixes, and only what
-    a host can match is carried to its urls."""
+    """The same by equi-joins on distinct urls: each meets the path lengths that rules of its host's
+    suffixes have, then the rules themselves, however many a host has."""
     table = df.sparkSession.createDataFrame(rules, "v string, suffix string, p string, t string")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hosts = df.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(table, "suffix")
-    best = F.struct(F.length("t").alias("n"), (F.col("v") == "allow").alias("a"), F.col("t").alias("t"))
-    by_host = hosts.groupBy("host").agg(F.sort_array(F.collect_set(F.struct(best.alias("best"), "p", "v")), asc=False).alias("found"))
-    fit = F.element_at(F.filter("found", lambda r: F.col("path").startswith(r["p"])), 1)
-    out = df.join(by_host, "host", "left").withColumn("fit", F.when(F.size(F.filter("found", lambda r: F.col("path").startswith(r["p"]))) > 0, fit))
-    return out.withColumns({"rule": F.col("fit.best.t"), "own": F.col("fit.v")}).select(*df.columns, "rule", "own")
+    lengths = table.select("suffix", F.length("p").alias("size")).distinct()
+    tried = df.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix")).join(lengths, "suffix").where(F.length("path") >= F.col("size"))
+    hits = tried.withColumn("p", F.expr("substring(path, 1, size)")).join(table, ["suffix", "p"])
+    best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("t")).alias("n"), (F.col("v") != "allow").alias("b"), "t", "v")).alias("best"))
+    return df.join(best, ["host", "path"], "left").select(*df.columns, F.col("best.t").alias("rule"), F.col("best.v").alias("own"))
 
 
 def judged(df: DataFrame, rules: Sequence[tuple[str, str]], url: Column, inline: int = INLINE_RULES) -> DataFrame:
@@ -88,14 +137,7 @@ def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
     links = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(
         F.col(url).alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("to")
     ).where("to <> ''")
-    scheme, host, path = F.regexp_extract("u", r"(?s)^(.*?)://", 1), host_of(F.col("u")), path_of(F.col("u"))
-    to = F.regexp_replace("to", "&amp;", "&")
-    whole = (
-        F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host, to))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", ""), to))
-    )
-    edges = links.select(node_of(F.col("u")).alias("a"), node_of(whole).alias("b"))
+    edges = links.select(node_of(F.col("u")).alias("a"), node_of(resolved(decoded(F.col("to")), F.col("u"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 
 

@@ -21,17 +21,33 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
 
 
+def brute_spans_of(text, ids, path):
+    """Start and end of the characters of which each token holds a byte."""
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]
+    ranks = {r: t for t, r in bpe.load_ranks(path).items()}
+    out, at = [], 0
+    for x in ids:
+        size = len(ranks[x])
+        out += [owner[at], owner[at + size - 1] + 1]
+        at += size
+    return out
+
+
 def test_bpe_encodes_as_the_ranks_say(spark):
     path, pattern = queries.byte_bpe()
     known = reference_encoding()
     rnd = random.Random(2)
-    texts = ["", "<|endoftext|>", " a  b\n\n c", "x" * 5000, "don't DON'T 12345 ²½ \x1c\x85"]
-    texts += ["".join(rnd.choice("aAbé ñ\n\t12٣日🤖'sß²‍ _") for _ in range(rnd.randrange(80))) for _ in range(400)]
-    for text, ids in zip(texts, bpe.encode_texts(texts, path, pattern), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+    texts = ["", "<|endoftext|>", " a  b\n\n c", "x" * 5000, "don't DON'T 12345 ²½ \x1c\x85", "naïve 日本", "🤖🤖 ꙮ", "é ñ ś"]
+    texts += ["".join(rnd.choice("aAbé ñ\n\t12٣日🤖'sß²‍ _") for _ in range(rnd.randrange(80))) for _ in range(400)]
+    split = 0
+    for text, (ids, spans) in zip(texts, bpe.encode_texts(texts, path, pattern), strict=True):
+        own = np.frombuffer(ids, "<u4").tolist()
+        assert own == known.encode_ordinary(text)
         assert bpe.decode_ids(ids, path) == text.encode()
-    ids, spans = bpe.encode_with_offsets(["naïve 日本"], path, pattern)
-    assert spans[0][0][0] == 0 and spans[0][-1][1] == len("naïve 日本") and len(spans[0]) == len(ids[0]) // 4
+        spans = np.frombuffer(spans, "<u4").tolist()
+        assert spans == brute_spans_of(text, own, path)
+        split += any(a < b for a, b in zip(spans[2::2], spans[1::2], strict=False))
+    assert split > 20  # characters that tokens share
 
 
 def test_bpe_round_trip_of_odd_rows(spark):
@@ -42,10 +58,26 @@ def test_bpe_round_trip_of_odd_rows(spark):
     for r in out:
         assert bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] * 4 == len(r["ids_le"])
     again = bpe.decode(bpe.encode(odd_documents(spark), path, pattern, offsets=True), path).collect()
-    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and len(r["offsets"]) == r["n_tokens"] for r in again)
+    assert all(r["decoded_text"] == (r["text"] or "") and len(r["offsets_le"]) == 8 * r["n_tokens"] for r in again)
+    cut = spark.createDataFrame([(bytearray(bpe.encode_texts(["a🤖"], path, pattern)[0][0][:8]),), (None,)], "ids_le binary")
+    assert [r["decoded_text"] for r in bpe.decode(cut, path).collect()] == ["a\ufffd", ""]
     assert bpe.encode(docs.limit(0), path, pattern).collect() == []
 
 
+def test_bpe_query_matches_the_ranks(spark, sf):
+    path, _ = queries.byte_bpe()
+    known = reference_encoding()
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op7_bpe(spark, sf).collect()}
+    assert set(got) == set(text)
+    for k, t in text.items():
+        ids = known.encode_ordinary(t)
+        assert got[k]["n_tokens"] == len(ids) and got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        if len(t) < 3000:
+            assert got[k]["offsets_sha256"] == hashlib.sha256(np.array(brute_spans_of(t, ids, path), "<u4").tobytes()).hexdigest()
+
+
 # -- secrets --------------------------------------------------------------------------------------
 
 BASE = {
@@ -80,6 +112,36 @@ def test_secrets_of_odd_rows(spark):
     assert secrets.find(docs.limit(0)).collect() == []
 
 
+def test_secrets_query_matches_the_patterns(spark, sf):
+    """The whole query, bytes to code points and digest included."""
+    from bisect import bisect
+
+    got = {r["doc_id"]: r for r in queries.op4_secret_scan(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        data = (r["text"] or "").encode()
+        starts = [k for k, b in enumerate(data) if b & 0xC0 != 0x80]
+        spans = [(k, bisect(starts, a - 1) if a else 0, bisect(starts, b - 1)) for a, k, b in brute_spans(data)]
+        own, kinds = got[r["doc_id"]], list(BASE)
+        assert [own[f"n_{kind}"] for kind in kinds] == [sum(k == x for k, _, _ in spans) for x in range(3)]
+        listed = [f"{kinds[k]}:{a}:{b}" for k, a, b in spans]
+        assert own["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in own["spans"].split(",") if x.split(":")[0] in kinds] == listed
+
+
+def test_long_runs_take_little_memory():
+    import tracemalloc
+
+    scan = secrets.scanner(secrets.BASE + secrets.MORE)
+    data = b"0123456789abcdef" * 250_000
+    tracemalloc.start()
+    assert scan.scan(data) == [(0, 2, len(data))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(data)  # copies of the text, nothing for each place
+
+
 def test_automata_are_minimal():
     machine = secrets.compile_automaton([secrets._Parser("(ab|cb)*d{2,3}", False).whole()], False)
     assert len(machine.marks) == 6  # ab* loop, after a or c, after d, dd, ddd, dead
@@ -88,37 +150,64 @@ def test_automata_are_minimal():
 # -- decontamination ------------------------------------------------------------------------------
 
 
-def brute_distance(item, text):
+def brute_ends(item, text):
+    """The least distance of item to a stretch of text that ends at each place."""
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
         new = [i]
         for j, y in enumerate(text, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
         row = new
-    return min(row)
+    return row
+
+
+def brute_occurrences(item, text, k):
+    """(distance, end) of all, from left to right, by the definition over the whole text."""
+    out, at = [], 0
+    while True:
+        row = brute_ends(item, text[at:])
+        first = next((e for e, d in enumerate(row) if d <= k), None)
+        if first is None:
+            return out
+        end = min(range(first, min(len(row), first + 2 * k + 1)), key=lambda e: (row[e], e))
+        out.append((row[end], at + end))
+        at += end
 
 
 def test_leaks_match_brute_force():
     rnd = random.Random(6)
-    hits = 0
+    hits = several = 0
+    noise = lambda: "".join(rnd.choice("abc d") for _ in range(rnd.randrange(40)))
     for _ in range(500):
         item = decontaminate.normalised("".join(rnd.choice("abc d") for _ in range(rnd.randrange(6, 40))))
-        own = list(item)
-        for _ in range(rnd.randrange(5)):
-            at = rnd.randrange(len(own))
-            own[at : at + 1] = rnd.choice([["z"], [], [own[at], "y"]])
-            own = own or ["z"]
-        noise = lambda: "".join(rnd.choice("abc d") for _ in range(30))
-        text = decontaminate.normalised(f"{noise()} {''.join(own)} {noise()}")
         if len(item) < 5:
             continue
-        found = decontaminate.Matcher([(7, item)], 4).search(text)
-        distance = brute_distance(item, text)
-        assert bool(found) == (distance <= decontaminate.budget(len(item), 4))
-        if found:
-            hits += 1
-            assert found[0].distance == distance == brute_distance(item, text[found[0].start : found[0].end])
-    assert hits > 100
+        text = noise()
+        for _ in range(rnd.randrange(4)):
+            own = list(item)
+            for _ in range(rnd.randrange(5)):
+                at = rnd.randrange(len(own))
+                own[at : at + 1] = rnd.choice([["z"], [], [own[at], "y"]])
+                own = own or ["z"]
+            text += rnd.choice(["", " "]) + "".join(own) + noise()
+        text = decontaminate.normalised(text)
+        k = decontaminate.budget(len(item), 4)
+        found = decontaminate.Matcher([("x-1", item)], 4).search(text)
+        assert [(h.distance, h.end) for h in found] == brute_occurrences(item, text, k)
+        for h in found:
+            assert h.item == "x-1" and brute_ends(item, text[h.start : h.end])[-1] == h.distance
+        hits += bool(found)
+        several += len(found) > 1
+    assert hits > 100 and several > 50
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "the first question of all tests, the first question of all tests")], "doc_id bigint, text string")
+    for kind, key in (("string", "mmlu-1"), ("int", 7), ("decimal(10,2)", None), ("date", __import__("datetime").date(2020, 1, 2))):
+        items = spark.createDataFrame([(key, "first question of all")], f"item_id {kind}, text string")
+        out = decontaminate.find(docs, items)
+        assert dict(out.dtypes)["leaks"].startswith(f"array<struct<item_id:{kind},")
+        assert [(x["item_id"], x["start"]) for x in out.first()["leaks"]] == [(key, 4), (key, 37)]
 
 
 def test_leaks_of_odd_rows(spark):
@@ -216,35 +305,160 @@ def test_constant_slots_are_template(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
-def test_alignment_is_the_largest_matching():
-    def brute(a, b):
-        def tree(shape):
-            nodes = [(int(x.split(" ", 1)[0]), x.split(" ", 1)[1]) for x in shape.split("|")]
+def site(spark, rows, parts=None):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return pages.repartition(parts, "page_id") if parts else pages
 
-            def build(k):
-                out, j = [], k + 1
-                while j < len(nodes) and nodes[j][0] > nodes[k][0]:
-                    if nodes[j][0] == nodes[k][0] + 1:
-                        out.append(build(j))
-                    j += 1
-                return nodes[k][1], out
 
-            return build(0)
+def texts_of(pages, **how):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(pages, **how).collect()}
 
-        def match(x, y):
-            if x[0] != y[0]:
-                return 0
-            best = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
-            for i, p in enumerate(x[1]):
-                for j, q in enumerate(y[1]):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(p, q))
-            return 1 + best[-1][-1]
 
-        return match(tree(a), tree(b))
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
 
-    a, b = "0 html|1 nav|1 div|2 p|2 h1|1 div.x|1 footer", "0 html|1 div|2 h1|2 p|1 nav|1 div.x|2 p|1 footer"
-    pairs = html_extract.align(a, b)
-    assert sum(x >= 0 for x in pairs) == brute(a, b) == 5 and len({x for x in pairs if x >= 0}) == 5
+
+def test_varying_articles_stay_however_the_pages_are_dealt(spark):
+    """Every text differs, so nothing is template, over several batches and partitions."""
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for k in range(40):
+        paragraphs = [words(rnd, 12) for _ in range(2 + k % 3)]
+        rows.append((k, f"http://h.example/{k}", f"<div class=top>Our site</div><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><footer>{words(rnd, 3)}</footer>"))
+        want[k] = "\n\n".join(paragraphs)
+    for parts in (1, 7):
+        assert texts_of(site(spark, rows, parts)) == want
+
+
+def test_constant_texts_among_repeated_blocks_are_template(spark):
+    """Unnamed blocks: a menu, a notice among an article's paragraphs and a closing line, in three layouts."""
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for k in range(30):
+        story = [words(rnd, 10) for _ in range(1 + k % 4)]
+        own = "".join(f"<p>{x}</p>" for x in [*story[:1], "Subscribe to our letter", *story[1:]])
+        layouts = (
+            f"<div><p>Home About</p></div><div>{own}</div><div><p>All rights reserved</p></div>",
+            f"<table><tr><td>Home About</td></tr><tr><td>{own}</td></tr></table>",
+            f"<section><h2>Home About</h2><div>{own}</div></section><section><div>All rights reserved</div></section>",
+        )
+        rows.append((k, f"http://h.example/{k}", layouts[k % 3]))
+        want[k] = "\n\n".join(story)
+    for parts in (1, 7):
+        assert texts_of(site(spark, rows, parts)) == want
+
+
+def test_versions_of_one_article_are_no_template(spark):
+    rnd = random.Random(8)
+    long, other = words(rnd, 60), words(rnd, 20)
+    rows = [(k, "http://h.example/", f"<p>{long}</p><p>{other}</p><p>Version {k}</p>") for k in range(9)]
+    assert texts_of(site(spark, rows))[3] == f"{long}\n\n{other}\n\nVersion 3"
+
+
+def brute_template(rows):
+    """The main texts by the definition, on pages of one host and one layout without any furniture."""
+    from collections import defaultdict
+
+    pages = {html: re.findall(r"<(\w+)>([^<]*)</\1>", html) for _, _, html in rows}
+    on, has = defaultdict(set), defaultdict(set)
+    for html, found in pages.items():
+        for tag, text in found:
+            on[tag, text].add(html)
+            has[tag].add(html)
+    gone = {x for x, where in on.items() if len(where) >= html_extract.AGREE and 2 * len(where) >= len(has[x[0]])}
+    return {k: "\n\n".join(t for tag, t in pages[html] if (tag, t) not in gone) for k, _, html in rows}
+
+
+def test_templates_match_brute_force(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(60):
+        body = "".join(f"<{tag}>{rnd.choice(['Menu', 'Notice of the day', words(rnd, 8), words(rnd, 5)])}</{tag}>" for tag in ("h2", "p", "blockquote") for _ in range(rnd.randrange(1, 3)))
+        rows.append((k, "http://h.example/", body))
+    rows += [(100, "http://h.example/", rows[0][2])]
+    assert texts_of(site(spark, rows, 5)) == brute_template(rows)
+
+
+def test_names_give_way_to_articles_and_to_the_bulk_of_the_text():
+    long = "word " * 60
+    for wrap in ('<div class="widget Blog">{}</div>', '<div class="elementor-widget elementor-widget-theme-post-content">{}</div>', '<div class="layout with-sidebar">{}</div>', '<div class="content no-sidebar">{}</div>', '<div class="promo-story">{}</div>', '<div id="search-results">{}</div>', '<form class="login">{}</form>'):
+        assert html_extract.main_text(f"<nav>menu</nav>{wrap.format(f'<p>{long}</p>')}<div class=sidebar>side</div>") == long.strip()
+    for wrap in ('<article class="post has-comments">{}</article>', '<div class="sidebar-layout"><article>{}</article></div>', '<div class="menu"><main>{}</main></div>', '<article class="widget">{}</article>'):
+        assert html_extract.main_text(wrap.format("<h1>T</h1><p>short</p>") + f"<div class=sidebar>{long}</div>") == "T\n\nshort"
+    assert html_extract.main_text("<article><div class=article-header><h1>T</h1></div><p>x</p></article>") == "T\n\nx"
+    comments = f"<ol class=commentlist><li><article class=comment-body><p>{long}</p></article></ol>"
+    assert html_extract.main_text(f"<div class=post><p>short</p></div>{comments}") == "short"
+    assert html_extract.main_text('<p>a <span class="ad">buy <span>now</span> or</span> never</p>') == "a never"
+
+
+def test_deep_and_unclosed_markup_is_linear():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 10_000 + "x" + "<blockquote>" * 10_000 + "y"
+    assert html_extract.main_text(deep) == "x\n\ny"
+    shape, of = html_extract.slots(html_extract.Page(deep))
+    assert html_extract.align(shape, shape) == tuple(range(len(set(of))))
+    for piece in ("<div ", '<a "', "<a '", "<a \">\"", "<!--", "<p", "<script></script", "</", "<li></li>", "<td>", "<![CDATA[", "<b><span class=ad>", "<"):
+        html_extract.main_text("start " + "<div>" * 1000 + piece * (1_000_000 // len(piece)))
+    many = "".join(f"<div class=c{'x' * (k % 50)}{'y' * (k // 50)}>t</div>" for k in range(2000))
+    shape = html_extract.slots(html_extract.Page(many))[0]
+    html_extract.align(shape, "|".join([shape.split("|")[0], *reversed(shape.split("|")[1:])]))
+    assert time.time() - began < 60
+
+
+def test_pages_query_is_a_row_a_page_and_whole(spark):
+    """On the pages given, every article's own texts come out, by a plain reading of its markup."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in queries.op5_html_extract(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    import html as entities
+
+    plain = lambda x: " ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split())
+    for r in pages:
+        found = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
+        if found and not re.search(r"<(?!/?(?:p|h1|b|br|i|em|a)\b)", found[1]):
+            parts = map(plain, re.split(r"</?(?:p|h1)\b[^>]*>", found[1]))
+            assert got[r["page_id"]]["text"] == "\n\n".join(x for x in parts if x)
+        assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+
+
+def test_alignment_is_the_largest_matching():
+    def tree(shape):
+        out: list = []
+        for x in shape.split("|"):
+            p, _, label = x.partition(" ")
+            out.append((label, []))
+            if int(p) >= 0:
+                out[int(p)][1].append(out[-1])
+        return out[0]
+
+    def match(x, y):
+        if x[0] != y[0]:
+            return 0
+        best = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, p in enumerate(x[1]):
+            for j, q in enumerate(y[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(p, q))
+        return 1 + best[-1][-1]
+
+    rnd = random.Random(7)
+
+    def grown():
+        out, used = ["-1 html"], set()
+        for _ in range(rnd.randrange(1, 14)):
+            x = (rnd.randrange(len(out)), rnd.choice("abcdef"))
+            if x not in used:
+                used.add(x)
+                out.append(f"{x[0]} {x[1]}")
+        return "|".join(out)
+
+    for _ in range(300):
+        a, b = grown(), grown()
+        pairs = html_extract.align(a, b)
+        own = [x for x in pairs if x >= 0]
+        assert len(own) == match(tree(a), tree(b)) and len(set(own)) == len(own)
 
 
 # -- url filter -----------------------------------------------------------------------------------
@@ -279,6 +493,56 @@ def test_url_filter(spark):
     assert url_filter.judge_pages(pages.limit(0), queries.URL_RULES).collect() == []
 
 
+def test_links_resolve_as_browsers_do(spark):
+    rows = [
+        ("http://good.com/a/b.html?q", "/go?u=http://bad.com/x", "good.com/go?u=http://bad.com/x"), ("http://h.org/a/b/c", "../x/./y/..", "h.org/a/x/"), ("http://h.org/a", "../../x", "h.org/x"),
+        ("https://h.org:443/a", "//o.org:443/b", "o.org/b"), ("http://h.org", "b?c#d", "h.org/b?c"), ("http://h.org/a/b?c", "?d", "h.org/a/b?d"), ("http://h.org/a", "mailto:x@y", None),
+        ("http://h.org/a", "HTTP://O.org:80", "o.org/"), ("http://h.org/a", "&#47;b&#x3f;c&amp;d", "h.org/b?c&d"), ("http://h.org/a", "#top", "h.org/a"), ("http://h.org:/a", "b", "h.org/b"), ("http://h.org/", "t:http://bad.com", None),
+    ]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "base string, link string, want string")
+    out = df.select("want", url_filter.node_of(url_filter.resolved(url_filter.decoded(F.col("link")), F.col("base"))).alias("got")).collect()
+    assert [r["got"] for r in out] == [r["want"] for r in out]
+
+
+def test_alias_query_matches_sql_that_reads_otherwise(spark):
+    """Links, relative and absolute, a chain of a hundred pages, ports and dots, against DuckDB."""
+    import duckdb
+
+    link = lambda x: f'<link href="{x}" rel=canonical>'
+    rows = [(k, f"http://c.org/{k}", link(f"/{k + 1}")) for k in range(100)] + [(100, "http://c.org/100", link("http://x.net/fr/1"))]
+    rows += [
+        (200, "http://good.org/a", link("/go?u=http://x.net/fr/1")), (201, "http://d.org/a/b", link("../c/./d")), (202, "https://d.org:443/c/d", link("http://y.net:80/es/")), (203, "http://e.org", '<META content="3;URL=/f" http-equiv="Refresh">'),
+        (204, "http://e.org:80/f#x", link("http://f.example.com/en/..")), (205, "http://g.org/?q=1", link("http://f.example.com/en/x")), (206, "http://shop.com/en/", link("http://f.example.com/en/x")), (207, None, link("/x")), (208, "none", None), (205, "http://g.org/?q=1", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = url_filter.judge_pages(pages, queries.URL_RULES).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert all(verdict[k] == "block" for k in range(101)) and verdict[200] == "allow" and verdict[201] == verdict[202] == "block"
+    assert verdict[203] == verdict[204] == "allow" and verdict[205] == "block" and verdict[206] == "allow"
+    c = duckdb.connect()
+    c.register("pages", pages.toPandas())
+    want = c.sql(queries.SQL["op1_url_filter"]).fetchall()
+    assert sorted(want, key=repr) == sorted((tuple(r[x] for x in ("page_id", "host", "path", "rule", "verdict", "propagated")) for r in got), key=repr)
+
+
+def test_rules_have_one_order_on_both_ways(spark):
+    rnd = random.Random(9)
+    label = lambda: rnd.choice(["a", "b", "x", "com", "net"])
+    rules = [("block", "a.com/bc"), ("block", "x.a.com/")] + [(rnd.choice(["allow", "block"]), ".".join(label() for _ in range(rnd.randrange(1, 4))) + "/" + "".join(rnd.choice("bc/") for _ in range(rnd.randrange(4)))) for _ in range(80)]
+    urls = ["http://x.a.com/bc"] + [f"http://{'.'.join(label() for _ in range(rnd.randrange(1, 5)))}/{''.join(rnd.choice('bc/') for _ in range(rnd.randrange(5)))}" for _ in range(400)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    judged = lambda n: sorted(map(tuple, url_filter.judged(pages, rules, pages["url"], inline=n).collect()), key=repr)
+    assert judged(1000) == judged(0)
+
+    def best(host, path):
+        fit = [(-len(t), v, t) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.partition("/")[2])]
+        return min(fit)[1:] if fit else (None, None)
+
+    assert all((own, rule) == best(host, path) for _, host, path, rule, own in judged(0))
+
+
 # -- quality --------------------------------------------------------------------------------------
 
 
@@ -313,41 +577,35 @@ def test_features_cover_the_whole_text(monkeypatch):
 # -- context trees --------------------------------------------------------------------------------
 
 
-def brute_tree(train, kept, text):
+def brute_tree(train, text):
     """log10 probability of text, straight from the definition, with exact recursion."""
     import math
 
-    depth = ctw.DEPTH
+    depth, before, end = ctw.DEPTH, bytes([ctw.BEFORE]), bytes([ctw.END])
     counts: dict = {}
     for t in train:
-        data = b"\0" * depth + t + b"\0"
+        data = before * depth + t + end
         for i in range(depth, len(data)):
             for d in range(depth + 1):
-                counts.setdefault(data[i - d : i], {}).setdefault(data[i], 0)
-                counts[data[i - d : i]][data[i]] += 1
-    kept = set(kept) | {b""}
-
-    def zeros_ones(table, bit, prefix):
-        own = [(s, n) for s, n in table.items() if s >> (8 - bit) == prefix]
-        return sum(n for s, n in own if not s >> (7 - bit) & 1), sum(n for s, n in own if s >> (7 - bit) & 1)
+                own = counts.setdefault(data[i - d : i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
+    below_of: dict = {}
+    for c in counts:
+        if c:
+            below_of.setdefault(c[1:], []).append(c)
 
     def log_kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def node(c, bit, prefix, ahead):
         """(ln weighted probability of the counts, probability that the decision is one after ahead)."""
-        a, b = zeros_ones(counts.get(c, {}), bit, prefix)
+        own = [(s, n) for s, n in counts.get(c, {}).items() if s >> (8 - bit) == prefix]
+        a, b = sum(n for s, n in own if not s >> (7 - bit) & 1), sum(n for s, n in own if s >> (7 - bit) & 1)
         own, one = log_kt(a, b), (b + 0.5) / (a + b + 1)
         if len(c) == depth:
             return own, one
-        children = [k for k in kept if len(k) == len(c) + 1 and k[1:] == c]
-        rest = dict(counts.get(c, {}))
-        for k in children:
-            for s, n in counts[k].items():
-                rest[s] -= n
-        ra, rb = zeros_ones(rest, bit, prefix)
-        below, inside = log_kt(ra, rb), (rb + 0.5) / (ra + rb + 1)
-        for k in children:
+        below, inside = 0.0, 0.5
+        for k in below_of.get(c, []):
             w, p = node(k, bit, prefix, ahead)
             below += w
             if ahead.endswith(k):
@@ -356,7 +614,7 @@ def brute_tree(train, kept, text):
         weight = math.exp(math.log(0.5) + own - whole)
         return whole, weight * one + (1 - weight) * inside
 
-    total, data = 0.0, b"\0" * depth + text + b"\0"
+    total, data = 0.0, before * depth + text + end
     for i in range(depth, len(data)):
         for bit in range(8):
             p = node(b"", bit, data[i] >> (8 - bit), data[i - depth : i])[1]
@@ -364,30 +622,43 @@ def brute_tree(train, kept, text):
     return total
 
 
-def test_tree_scores_match_the_definition(spark):
-    train = [b"abracadabra", b"abra", b"cad", b"", b"ab ab ab"]
-    g, n = ctw.gram_counts(train)
-    table = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, n, strict=True)], "gram bigint, n bigint")
-    for states in (4, 24, 1000):
-        tree = ctw.build_tree(table, states)
-        assert len(tree.successor) // 256 <= states + 1
-        kept, flat = [b""], tree.successor.reshape(-1, 256)
-        reached = {0: b""}
-        for s, c in list(reached.items()):
-            pass
-        queue = [0]
-        while queue:  # read the contexts back from the automaton: the shortest text that leads to each
-            s = queue.pop(0)
-            for x in range(256):
-                to = int(flat[s, x])
-                if to not in reached:
-                    reached[to] = reached[s] + bytes([x])
-                    queue.append(to)
-        kept = [c for c in reached.values()]
-        for text in (b"abracad", b"zebra", b"", b"ab ab"):
-            assert tree.score([text])[0] == pytest.approx(brute_tree(train, kept, text), abs=1e-4)
-    lanes = ctw.Tree.score(tree, [b"ab" * 1000, b"abra"])
-    assert lanes[1] == pytest.approx(tree.score([b"abra"])[0]) and lanes[0] == pytest.approx(brute_tree(train, kept, b"ab" * 1000), abs=0.05)
+@pytest.mark.parametrize("chunk,runs", [(ctw.CHUNK, ctw.RUNS), (7, 5), (1, 0)])
+def test_tree_scores_match_the_definition(spark, monkeypatch, chunk, runs):
+    """Whatever a task weighs at a time and however many logarithms the workers hold."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ctw, "CHUNK", chunk)
+    train = ["abracadabra", "ABRA", "cad", "", "ab ab ab", "été", "a\0b"]
+    held_out = ["abracad", "zebra", "", "ab ab", "a", "a\0", "été é", "ab" * 200]
+    rows = [(k, t, k < len(train)) for k, t in enumerate(train + held_out)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, learned boolean")
+    got = {r["doc_id"]: r for r in ctw.scored(docs, F.col("learned"), runs=runs).collect()}
+    for k, t, learned in rows:
+        assert got[k]["held_out"] != learned
+        assert got[k]["score"] == pytest.approx(brute_tree([ctw.coded(x) for x in train], ctw.coded(t)), abs=1e-4, rel=1e-5)
+
+
+def test_next_symbols_are_a_distribution():
+    """Over all bytes and the end, after any context, known or not."""
+    runs, n = ctw.run_counts([b"abracadabra", b"abba", b"a"])
+    for context in (b"abrac", b"xxabr", bytes([ctw.BEFORE]) * 5, b"zzzzz"):
+        code = sum(c << 8 * (k + 1) for k, c in enumerate(context))
+        every = np.arange(256) | code
+        keys, where = ctw._summed(np.r_[runs, every], np.r_[n, np.zeros(256, np.int64)])
+        parts, tops = ctw.weigh(keys, where)
+        node = np.concatenate([(k >> bit << 8) | 1 << bit | k & (1 << bit) - 1 for bit, k, *_ in tops])
+        top = ctw.Top(node, *(np.concatenate([x[k] for x in tops]) for k in (2, 3, 4)))
+        at = np.searchsorted(keys, every)
+        assert (10 ** top.log10p(keys[at], parts[at])).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_most_frequent_fills_its_place(spark):
+    flat = spark.range(50_000).selectExpr("id as k", "1L as n")
+    assert 30_000 < ctw.most_frequent(flat, "k", "n", 32_768).count() <= 32_768
+    assert 900 < ctw.most_frequent(flat, "k", "n", 1000).count() <= 1000
+    steep = spark.range(1000).selectExpr("id as k", "id * id as n")
+    assert {r["k"] for r in ctw.most_frequent(steep, "k", "n", 100).collect()} >= set(range(910, 1000))
+    assert ctw.most_frequent(steep, "k", "n", 2000).count() == 999
 
 
 def test_base_scores_match_brute_force(spark, sf):

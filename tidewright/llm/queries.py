@@ -60,9 +60,9 @@ def byte_bpe() -> tuple[str, str]:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as token ids and back."""
-    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe())
-    return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Every text of documents as token ids, with the code points that each covers, and back."""
+    out = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe(), offsets=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("offsets_le", 256).alias("offsets_sha256"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,33 +100,44 @@ _ALPHA = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULES = ", ".join(f"('{v}', '{host}', '{path}', '{rule}')" for v, host, path, rule in url_filter.split_rules(URL_RULES))
 
 SQL: dict[str, str] = {
-    "op1_url_filter": rf"""
+    # Read with string functions alone, so that no pattern is shared with the operator.
+    "op1_url_filter": f"""
         with recursive rules(verdict, host, path, rule) as (values {_RULES}),
-        own as (
-            select page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_ALPHA}), '') as host,
-                coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path, row_number() over () as row from pages),
-        found as (
-            select url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\brel\s*=\s*["'']?canonical\b', 'is'))[1],
-                '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') as href from own
-            union all select url, host, path, regexp_extract(list_filter(regexp_extract_all(html, '<meta\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'is'))[1],
-                '\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[''"]?([^"''\s>]+)', 1, 'is') from own),
-        links as (select url, host, path, regexp_extract(url, '^(.*?)://', 1, 's') as scheme, replace(href, '&amp;', '&') as href from found where href <> ''),
+        tags as (select distinct url, list_transform(string_split(html, '<'), lambda t: translate(split_part(t, '>', 1), chr(9) || chr(10) || chr(13), '   ')) as tags from pages where contains(url, '://')),
+        chosen as (
+            select url, list_filter(tags, lambda t: lower(t[1:5]) = 'link ' and contains(translate(lower(t), ' "''', ''), 'rel=canonical'))[1] as tag, 'href' as name from tags
+            union all select url, list_filter(tags, lambda t: lower(t[1:5]) = 'meta ' and contains(translate(lower(t), ' "''', ''), 'http-equiv=refresh'))[1], 'content' from tags),
+        valued as (select url, name, ltrim(substr(ltrim(substr(tag, position(' ' || name in lower(tag)) + length(name) + 1)), 2)) as v from chosen where contains(lower(tag), ' ' || name)),
+        values_ as (select url, name, case when v[1] in ('"', '''') then split_part(v[2:], v[1], 1) else split_part(v, ' ', 1) end as v from valued),
+        linked as (
+            select url, v from values_ where name = 'href'
+            union all select url, trim(substr(ltrim(substr(ltrim(split_part(replace(v, ',', ';'), ';', 2)), 4)), 2), ' "''') from values_ where name = 'content' and contains(lower(v), 'url')),
+        named as (select url, trim(replace(replace(replace(replace(replace(v, '&#38;', '&'), '&#x26;', '&'), '&#47;', '/'), '&#x2F;', '/'), '&amp;', '&')) as link from linked where v <> ''),
+        bases as (
+            select *, split_part(url, '://', 1) as scheme, split_part(translate(substr(url, position('://' in url) + 3), '?#', '//'), '/', 1) as host, split_part(translate(url, '#', '?'), '?', 1) as whole,
+                split_part(translate(link, '/?#', '   '), ' ', 1) as first from named),
         targets as (
-            select url as a, case when contains(href, '://') then href when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then scheme || '://' || host || href
-                else scheme || '://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || href end as b from links),
-        ends as (select a as url, a, b from targets union all select b, a, b from targets),
+            select url as a, case when contains(first, ':') and starts_with(substr(link, length(first)), '://') then link when contains(first, ':') then null when starts_with(link, '//') then scheme || ':' || link
+                when starts_with(link, '/') then scheme || '://' || host || link when starts_with(link, '?') then whole || link when link = '' or starts_with(link, '#') then url
+                when whole = scheme || '://' || host then whole || '/' || link else list_aggregate(string_split(whole, '/')[:-2], 'string_agg', '/') || '/' || link end as b from bases),
+        urls as (select url from pages union select a from targets union select b from targets),
+        parts as (select url, substr(url, position('://' in url) + 3) as rest, lower(split_part(url, '://', 1)) as scheme from urls where contains(url, '://')),
+        hosts as (select *, translate(split_part(translate(rest, '?#', '//'), '/', 1), {_ALPHA}) as host from parts),
+        tails as (select *, split_part(translate(substr(rest, length(host) + 1), '#', '?'), '?', 1) as path, split_part(substr(rest, length(host) + 1), '#', 1) as tail from hosts),
+        walked as (
+            select *, list_reduce(list_transform(string_split(path, '/')[2:], lambda x: [x]), lambda l, x: case x[1] when '.' then l when '..' then l[:-2] else list_concat(l, x) end, []::varchar[]) as kept from tails),
         nodes as (
-            select url, case when contains(url, '://') then translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_ALPHA}) || regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's')
-                || regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\?[^#]*)?', 1, 's') end as node from (select url from ends union select url from own)),
+            select url, host, path, (case when scheme = 'http' and ends_with(host, ':80') then host[:-4] when scheme = 'https' and ends_with(host, ':443') then host[:-5] when ends_with(host, ':') then host[:-2] else host end)
+                || case when path = '' then '/' when contains(path, '/.') then '/' || coalesce(list_aggregate(kept, 'string_agg', '/'), '') || case when string_split(path, '/')[-1] in ('.', '..') and len(kept) > 0 then '/' else '' end else path end
+                || substr(tail, length(path) + 1) as node from walked),
         edges as (select x.node as a, y.node as b from targets t join nodes x on x.url = t.a join nodes y on y.url = t.b where x.node <> y.node),
         reach(a, b) as (select a, b from edges union select b, a from edges union select r.a, e.b from reach r join (select a, b from edges union select b, a from edges) e on r.b = e.a),
-        judged as (
-            select n.node, max_by(r.verdict, (length(r.rule), r.verdict = 'allow')) as verdict, max_by(r.rule, (length(r.rule), r.verdict = 'allow')) as rule from (select distinct node from nodes) n
-            join rules r on (split_part(split_part(n.node, '/', 1), '?', 1) = r.host or ends_with(split_part(split_part(n.node, '/', 1), '?', 1), '.' || r.host))
-                and starts_with(split_part(substr(n.node, length(split_part(split_part(n.node, '/', 1), '?', 1)) + 1), '?', 1), r.path) group by 1),
-        bad as (select distinct r.a as node from reach r join judged j on r.b = j.node where j.verdict = 'block')
-        select page_id, o.host, o.path, j.rule, coalesce(j.verdict, case when b.node is not null then 'block' else 'allow' end) as verdict, j.verdict is null and b.node is not null as propagated
-        from own o left join nodes n on n.url = o.url left join judged j on j.node = n.node left join bad b on b.node = n.node""",
+        asked as (select url as id, host, path from nodes union all select distinct node, split_part(node, '/', 1), split_part(substr(node, length(split_part(node, '/', 1)) + 1), '?', 1) from nodes),
+        fitting as (select id, r.verdict, r.rule from asked join rules r on (asked.host = r.host or ends_with(asked.host, '.' || r.host)) and starts_with(asked.path, r.path)),
+        judged as (select id, first(verdict order by length(rule) desc, verdict, rule) as verdict, first(rule order by length(rule) desc, verdict, rule) as rule from fitting group by id),
+        bad as (select distinct r.a as node from reach r join judged j on r.b = j.id where j.verdict = 'block')
+        select page_id, coalesce(n.host, '') as host, coalesce(n.path, '') as path, j.rule, coalesce(j.verdict, case when b.node is not null then 'block' else 'allow' end) as verdict, j.verdict is null and b.node is not null as propagated
+        from pages p left join nodes n on n.url = p.url left join judged j on j.id = p.url left join bad b on b.node = n.node""",
     "op6_exact_dedup": f"""
         with rows as (select doc_id, translate(coalesce(text, ''), {_ALPHA}) as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,

@@ -23,6 +23,7 @@ key is linked, refuted, or in one component by other links.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ WORDS, SIMILARITY, TABLES, MINIMA = 5, 0.8, 48, 5
 #: Standard deviations of the wide distance beyond which a pair needs no exact look, and document ids
 #: that are sent to all tasks; more are joined.
 DOUBT, SENT = 6.0, 2_000_000
+#: Bytes of shingles that a task holds to decide what is left open in a bucket; more are dealt out by shares.
+SHARE_BYTES = 64 << 20
 #: Words of a point of near-duplicates: digest and size of the shingle set, wide fingerprint.
 SET = 2 + WIDE
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, TABLES * MINIMA, 1), np.uint64)
@@ -372,11 +375,13 @@ def _first_links(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> I
     yield flush()
 
 
-def _other_links(batches: Iterator[pa.RecordBatch], similarity: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, i, k, share ‖ point ‖ root) sorted by the first three in, rows (a, b) out: the pairs
-    of points of different roots, one in share i and the other in share k of a bucket, that neither
-    their sizes nor their wide distance rule out."""
-    a, b = [], []
+def _other_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (part, i, k, share, point, root, shingles) sorted by the first three in, rows (a, b) out:
+    links between points of different roots, one in share i and the other in share k of a bucket. The
+    pairs are decided here, on the shingles themselves, and only links that unite two roots leave the
+    task: with what united them before, they stand for all links of the block."""
+    a: list[bytes] = []
+    b: list[bytes] = []
 
     def flush() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -384,39 +389,74 @@ def _other_links(batches: Iterator[pa.RecordBatch], similarity: float, most: int
         b.clear()
         return batch
 
-    for (_, i, k), words, _ in _runs(batches, 1 + 2 * SET, 1 << 62):
-        share, points, roots = words[:, 0], words[:, 1 : 1 + SET], words[:, 1 + SET :]
-        size, wide = points[:, 1].astype(np.float64), np.ascontiguousarray(points[:, 2:])
-        cells = _cells(points)
-        for at in range(len(words) - 1):
-            rest = slice(at + 1, None)
-            ok = (roots[rest] != roots[at]).any(1) & (np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]))
-            if i != k:
-                ok &= share[rest] != share[at]
-            found = np.flatnonzero(ok) + at + 1
-            found = found[np.bitwise_count(wide[found] ^ wide[at]).sum(1, dtype=np.int64) <= most]
-            a.extend([cells[at]] * len(found))
-            b.extend(cells[x] for x in found.tolist())
-            if len(a) > 20_000:
-                yield flush()
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    for (_, i, k), group in itertools.groupby(rows(), key=lambda r: r[:3]):
+        held = list(group)
+        if len({r[5] for r in held}) == 1:
+            continue
+        for x, y in _united([r[3] for r in held] if i != k else None, [r[5] for r in held], [np.frombuffer(r[6], np.uint32) for r in held], similarity):
+            a.append(held[x][4])
+            b.append(held[y][4])
+        if len(a) > 20_000:
+            yield flush()
     yield flush()
 
 
-def _untried(members: DataFrame, near: DataFrame, tried: DataFrame, similarity: float, most: int, bucket: int) -> DataFrame:
-    """All candidate pairs (a, b) of one bucket whose points near leaves in different components, without
-    those tried. A bucket of over half of bucket points is dealt out by pairs of shares."""
+def _united(shares: list[int] | None, roots: list[bytes], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """(x, y): pairs of rows of different shares, if any are given, whose sets have the similarity and
+    whose roots nothing has united so far. Every other such pair has roots that these pairs unite."""
+    names: dict[bytes, int] = {}
+    root = np.array([names.setdefault(r, len(names)) for r in roots])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    share = np.array(shares if shares is not None else range(len(sets)))
+    # By size, so that the partners a row's size allows follow it without a gap.
+    order = np.argsort(sizes, kind="stable")
+    root, sizes, share = root[order], sizes[order], share[order]
+    words, ids = np.unique(np.concatenate([sets[x] for x in order]), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(len(words), bool)
+    for x in range(len(sets) - 1):
+        end = int(np.searchsorted(sizes, sizes[x] / similarity + 1e-9, side="right"))
+        if end <= x + 1:
+            continue
+        near = np.flatnonzero((root[x + 1 : end] != root[x]) & (share[x + 1 : end] != share[x])) + x + 1
+        if not len(near):
+            continue
+        own = ids[starts[x] : starts[x + 1]]
+        mark[own] = True
+        for at in range(0, len(near), 256):
+            some = near[at : at + 256]
+            some = some[root[some] != root[x]]
+            if not len(some):
+                continue
+            lo, hi = int(starts[some[0]]), int(starts[some[-1] + 1])
+            sums = np.r_[0, np.cumsum(mark[ids[lo:hi]])]
+            both = sums[starts[some + 1] - lo] - sums[starts[some] - lo]
+            for y in some[both >= similarity * (sizes[some] + sizes[x] - both)].tolist():
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    yield int(order[x]), int(order[y])
+        mark[own] = False
+
+
+def _untried(members: DataFrame, near: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """Links (a, b) among all pairs of one bucket whose points near leaves in different components. A
+    bucket of over half of bucket points, or of more than SHARE_BYTES of shingles, is dealt out by
+    pairs of shares."""
     member = connected_components(near)
     placed = members.join(member, members["point"] == member["node"], "left").select("part", "point", F.coalesce("root", "point").alias("root"))
     placed = cut(placed, "placed")
     root = F.xxhash64("root")
-    mixed = placed.groupBy("part").agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    shares = F.ceil(F.col("n") * 2 / bucket).cast("long")
-    open_ = placed.join(mixed.select("part", shares.alias("shares")), "part").withColumn("own", F.pmod(F.xxhash64("point"), F.col("shares")))
-    open_ = open_.select("part", "point", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
-    words = F.concat(F.unhex(F.lpad(F.hex("own"), 16, "0")), "point", "root").alias("words")
-    dealt = open_.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), words).repartition("part", "i", "k").sortWithinPartitions("part", "i", "k")
-    pairs = dealt.mapInArrow(lambda batches: _other_links(batches, similarity, most), "a binary, b binary")
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "untried")
+    open_ = placed.join(placed.groupBy("part").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("part"), "part", "left_semi")
+    held = cut(open_.join(sets, "point"), "open")
+    shares = F.ceil(F.greatest(F.count(F.lit(1)) * 2 / bucket, F.sum(F.length("shingles")) * 2 / SHARE_BYTES)).cast("long")
+    dealt = held.join(held.groupBy("part").agg(shares.alias("shares")), "part").withColumn("own", F.pmod(F.xxhash64("point"), F.col("shares")))
+    dealt = dealt.select("part", "point", "root", "shingles", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
+    dealt = dealt.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "point", "root", "shingles").repartition("part", "i", "k").sortWithinPartitions("part", "i", "k")
+    return dealt.mapInArrow(lambda batches: _other_links(batches, similarity), "a binary, b binary")
 
 
 def _shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -472,7 +512,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     sets = _shingle_sets(docs, text, key, wanted, size)
     near = cut(_jaccard(edges, sets, similarity), "near")
     # Whatever the forests left open: after it each pair of a bucket is linked, refuted or in one component.
-    near = near.unionByName(_jaccard(_untried(members, near, edges, similarity, most, bucket), sets, similarity))
+    near = near.unionByName(_untried(members, near, sets, similarity, bucket))
     return own.join(_classes(points.select("point", "least"), near, count), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 

@@ -78,7 +78,7 @@ def run(path: str, only: list[str] | None = None, force: bool = False, report: b
                 state |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:2000]}
             states.append(state | {"outputs": out.written, "withheld": out.withheld, "duration_s": round(time.time() - began, 2)})
         windows = [r.asDict() for r in sorted(bundle.windows().collect())]
-        write_manifest(target, manifest(config, states, windows, bundle.population(), collector.lines))
+        write_manifest(target, manifest(bundle.observed.sparkSession, config, states, windows, bundle.population(), collector.lines))
         study.close()
         if config.output.figures:
             redraw(target)

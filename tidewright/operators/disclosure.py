@@ -68,11 +68,11 @@ POLICIES: dict[str, Policy] = {
     "km_observed": Policy(("n_events", "n_persons"), _STEPS),
     "lexis_cohort_forecast": Policy(("n_events", "n_persons"), ("rate", "rate_var", "person_years")),
     "lexis_cohort_pooled": Policy(("n_events", "n_source_persons"), ("rate", "rate_var", "person_years", "se", "ci_lo", "ci_hi", "pooled_var")),
-    "lexis_cohort_combined": Policy(("n_events", "n_persons"), ("rate", "rate_var", "person_years")),
+    "lexis_cohort_combined": Policy(("n_events", "n_persons", "n_source_persons"), ("rate", "rate_var", "person_years")),
     "scores": Policy(("n_persons",), ("value", "ci_lo", "ci_hi")),
     "coverage": Policy(("n_condition", "n_evaluable", "n_excluded_condition", "n_settled", "n_uncovered"), ("n_seed_min", "n_seed_median", "n_seed_max")),
     "calibration": Policy(("n_persons", "n"), ("p_mean", "y_rate")),
-    "p_hat_distribution": Policy(("n_persons",), ("n_total",), (), True),
+    "p_hat_distribution": Policy(("n_persons", "n_total"), (), ("age_start", "age_stop", "outcome", "condition"), True),
     "aggregate_error": Policy(("n_persons",), ("obs", "gen_mean", "gen_sd_over_seeds", "bias", "mae", "rmse")),
     "timing_error": Policy(("n_persons", "n_pred_bin", "n_trajectories", "n_excluded"), ("pred_median",), ("age_start", "age_stop", "outcome", "condition", "pred_bin"), True),
     "timing_error_by_seed": Policy(("n_persons", "n_pred_bin", "n_trajectories", "n_excluded"), ("pred_median",), ("age_start", "age_stop", "outcome", "condition", "seed", "pred_bin"), True),
@@ -82,8 +82,8 @@ POLICIES: dict[str, Policy] = {
 }
 PREFIXES: dict[str, Policy] = {
     "km_": POLICIES["km_observed"],
-    "within_seed_variance_distribution": Policy(("count",), ("n_group",), ("age_stop",), True),
-    "within_seed_quantile_summary": Policy(("n_persons",), ("q0", "q25", "q50", "q75", "q100", "mean_k")),
+    "within_seed_variance_distribution": Policy(("n_persons", "n_group"), (), ("age_stop",), True),
+    "within_seed_quantile_summary": Policy(("n_persons",), ("mean_q0", "mean_q25", "mean_q50", "mean_q75", "mean_q100", "mean_k")),
     "replicate_variance_aggregate": Policy(("n_persons",), _VARIANCES),
 }
 

@@ -9,11 +9,11 @@ import json
 import os
 from collections.abc import Callable
 
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.disclosure import apply_policy, assert_publishable
+from tidewright.operators.disclosure import apply_policy, assert_publishable, policy_for
 
 MANIFEST = "manifest.json"
 
@@ -44,8 +44,8 @@ class Writer:
             self.withheld.append(name)
 
     def table(self, name: str, df: DataFrame, individual: bool = False) -> str | None:
-        """Writes <arm>/<name>.parquet. Published tables are aggregates and small: one file each, but
-        for tables about people."""
+        """Writes <arm>/<name>.parquet. Published tables are aggregates and small: one file each, but for
+        tables about people. What must not be shown raises before anything is on disk."""
         if individual and not self.individual:
             self.withhold(name)
             return None
@@ -53,8 +53,14 @@ class Writer:
         if "model" not in out.columns:
             out = out.select(F.lit(self.model).alias("model"), *out.columns)
         path = os.path.join(self.path, f"{name}.parquet")
-        (out if individual else out.coalesce(1)).write.mode("overwrite").parquet(path)
-        assert_publishable(name, df.sparkSession.read.parquet(path), self.min_cell)
+        governed = policy_for(name) is not None
+        out = out.persist(StorageLevel.MEMORY_AND_DISK) if governed else out  # checked and written from one computation
+        try:
+            assert_publishable(name, out, self.min_cell)
+            (out if individual else out.coalesce(1)).write.mode("overwrite").parquet(path)
+        finally:
+            if governed:
+                out.unpersist()
         self.written.append(os.path.relpath(path, self.directory))
         return path
 
@@ -73,29 +79,48 @@ class Writer:
         return path
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(d, x) for d, _, names in os.walk(path) for x in names if not x.startswith(("_", ".")))
-    return [path] if os.path.exists(path) else []
-
-
-def input_record(path: str) -> dict:
-    """Digest and rows of an input, rows from its metadata alone. Inputs that are not local files are
-    named only."""
-    digest, rows = hashlib.sha256(), 0
-    files = _files(path)
-    for name in files:
-        with open(name, "rb") as f:
-            while block := f.read(1 << 20):
-                digest.update(block)
-        if name.endswith(".parquet"):
-            rows += pq.ParquetFile(name).metadata.num_rows
-    return {"path": path, "sha256": digest.hexdigest() if files else None, "rows": rows if any(x.endswith(".parquet") for x in files) else None}
-
-
-def manifest(config, arms: list[dict], windows: list[dict], population: dict, warnings: list[str]) -> dict:
+#: Inputs up to so many bytes are told by a digest of their bytes, made in tasks; larger ones by the names,
+#: sizes and checksums or dates that the file system has of their files.
+WHOLE = 256 << 20
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """(path below, bytes, checksum or date of change) of the files of an input in any store."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    out, found = [], fs.listFiles(root, True)
+    base = fs.makeQualified(root).toString()
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString().removeprefix(base).lstrip("/")
+        if not f.getPath().getName().startswith(("_", ".")):
+            sum_ = fs.getFileChecksum(f.getPath())
+            out.append((name, f.getLen(), sum_.toString() if sum_ is not None else str(f.getModificationTime())))
+    return sorted(out)
+
+
+def input_record(spark: SparkSession, path: str) -> dict:
+    """Files, bytes, rows and a digest of an input. The driver reads none of it: rows come from a count
+    that file footers answer, and digests of files from tasks or from the file system."""
+    files = _files(spark, path)
+    if not files:
+        return {"path": path, "files": 0, "bytes": 0, "sha256": None, "digest_of": None, "rows": None}
+    size = sum(n for _, n, _ in files)
+    if size <= WHOLE:
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.sha2("content", 256).alias("x"))
+        parts, of = sorted(r["x"] for r in content.collect()), "bytes"
+    else:
+        parts, of = [f"{name} {n} {mark}" for name, n, mark in files], "files"
+    rows = spark.read.parquet(path).count() if any(name.endswith(".parquet") for name, _, _ in files) or path.endswith(".parquet") else None
+    return {"path": path, "files": len(files), "bytes": size, "sha256": hashlib.sha256("\n".join(parts).encode()).hexdigest(), "digest_of": of, "rows": rows}
+
+
+def manifest(spark: SparkSession, config, arms: list[dict], windows: list[dict], population: dict, warnings: list[str]) -> dict:
     """What ran on what, with what result. All but created and duration_s follow from the inputs."""
-    data = {k: input_record(p) for k in ("observed", "generated", "persons", "event_definitions") if (p := getattr(config.data, k))}
+    data = {k: input_record(spark, p) for k in ("observed", "generated", "persons", "event_definitions") if (p := getattr(config.data, k))}
     return {
         "created": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"), "model": config.model.name, "config_hash": config.hash(), "config": config.model_dump(mode="json"), "inputs": data,
         "coverage": {"windows": windows, "population": population}, "arms": arms, "warnings": warnings, "individual_level": config.output.individual_level, "min_cell": config.output.min_cell,

@@ -37,8 +37,8 @@ def _edges(scored: DataFrame, n_bins: int, strategy: str, by: Sequence[str]) ->
 def calibration(scored: DataFrame, n_bins: int = 10, strategy: str = "quantile", by: Sequence[str] = ()) -> DataFrame:
     """(*by, bin, bin_left, bin_right, p_mean, y_rate, n, n_persons) of bins with people; bins are closed
     below, the last one on both sides."""
-    edges = F.broadcast(_edges(scored, n_bins, strategy, by))
-    with_edges = scored.join(edges, list(by)) if by else scored.crossJoin(edges)
+    edges = _edges(scored, n_bins, strategy, by)
+    with_edges = scored.join(edges, list(by)) if by else scored.crossJoin(F.broadcast(edges))  # one row
     found = F.size(F.filter("edges", lambda e: e <= F.col("p_hat"))) - 1
     binned = with_edges.withColumn("bin", F.least(found, F.size("edges") - 2).cast("long"))
     at = lambda k: F.element_at("edges", (F.col("bin") + k).cast("int"))
@@ -57,7 +57,7 @@ def p_hat_distribution(scored: DataFrame, by: Sequence[str] = (), min_cell: int
     and of other runs by rounding p_hat to the grid only if it lies on it."""
     size = scored.groupBy(*by).agg(F.floor(F.percentile(F.col("n").cast("double"), F.lit(0.5))).cast("long").alias("_n"), F.count(F.lit(1)).alias("n_total"))
     grid = size.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
-    joined = scored.join(F.broadcast(size), list(by)) if by else scored.crossJoin(F.broadcast(size))
+    joined = scored.join(size, list(by)) if by else scored.crossJoin(F.broadcast(size))
     exact = (F.col("k") * F.col("_n")) % F.col("n") == 0
     held = joined.where(exact).withColumn("_k", F.expr("k * _n div n")).groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("n_persons"))
     out = grid.join(held, [*by, "_k"], "left").fillna(0, ["n_persons"]).select(*by, F.round(F.col("_k") / F.col("_n"), 12).alias("p_hat"), "n_persons", "n_total")
@@ -72,21 +72,27 @@ def _atoms(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return cells.select("*", F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("pos_below"), F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("neg_below"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
 
 
+def _auc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, roc_auc, auc_var) from one look at the atoms."""
+    a = _atoms(scored, by).withColumns({"v10": F.try_divide(F.col("neg_below") + F.col("neg") / 2, F.col("N").cast("double")), "v01": 1 - F.try_divide(F.col("pos_below") + F.col("pos") / 2, F.col("P").cast("double"))})
+
+    def spread(w: str, v: str) -> Column:
+        n, m = F.sum(w).cast("double"), F.try_divide(F.sum(F.col(w) * F.col(v)), F.sum(w).cast("double"))
+        return F.when(n > 1, F.greatest(F.sum(F.col(w) * F.col(v) * F.col(v)) - n * m * m, F.lit(0.0)) / (n - 1) / n)
+
+    auc = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.max(F.col("P") * F.col("N")).cast("double"))
+    return a.groupBy(*by).agg(auc.alias("roc_auc"), (spread("pos", "v10") + spread("neg", "v01")).alias("auc_var"))
+
+
 def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, roc_auc): ties count half; null if only one class is there."""
-    return _atoms(scored, by).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.max(F.col("P") * F.col("N")).cast("double")).alias("roc_auc"))
+    return _auc(scored, by).select(*by, "roc_auc")
 
 
 def auc_variance(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, auc_var): DeLong's, from the placements of each class among the other; null if a class
     has fewer than two people."""
-    a = _atoms(scored, by).withColumns({"v10": F.try_divide(F.col("neg_below") + F.col("neg") / 2, F.col("N").cast("double")), "v01": 1 - F.try_divide(F.col("pos_below") + F.col("pos") / 2, F.col("P").cast("double"))})
-
-    def spread(w: str, v: str) -> Column:
-        n, m = F.sum(w).cast("double"), F.try_divide(F.sum(F.col(w) * F.col(v)), F.sum(w).cast("double"))
-        return F.when(n > 1, F.greatest(F.sum(F.col(w) * F.col(v) * F.col(v)) - n * m * m, F.lit(0.0)) / (n - 1) / n)
-
-    return a.groupBy(*by).agg((spread("pos", "v10") + spread("neg", "v01")).alias("auc_var"))
+    return _auc(scored, by).select(*by, "auc_var")
 
 
 def brier(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -116,11 +122,10 @@ def score_cis(scored: DataFrame, by: Sequence[str] = (), level: float = 0.95) ->
     people = scored.withColumns({"_l": (p - y) * (p - y), "_c": (p - y) * (p - y) - F.when(n >= 2, p * (1 - p) / (n - 1)).otherwise(0.0)})
     m = F.count(F.lit(1)).alias("_m")
     first = people.groupBy(*by).agg(m, F.avg("_l").alias("_a"), F.stddev_samp("_l").alias("_sl"), F.avg("_c").alias("_ac"), F.stddev_samp("_c").alias("_sc"), F.avg(y).alias("_y"), F.var_pop(y).alias("_b"))
-    again = people.join(F.broadcast(first), list(by)) if by else people.crossJoin(F.broadcast(first))
+    again = people.join(first, list(by)) if by else people.crossJoin(F.broadcast(first))
     influence = F.try_divide(F.col("_l") - F.try_divide("_a", "_b") * (y - F.col("_y")) * (y - F.col("_y")), F.col("_b"))
     second = again.groupBy(*by).agg(F.stddev_samp(influence).alias("_sr"))
-    auc = roc_auc(scored, by).join(auc_variance(scored, by), list(by)) if by else roc_auc(scored).crossJoin(auc_variance(scored))
-    for other in (second, auc):
+    for other in (second, _auc(scored, by)):
         first = first.join(other, list(by)) if by else first.crossJoin(other)
     root = F.sqrt(F.col("_m").cast("double"))
     se_auc = F.when(F.col("auc_var") > 0, F.sqrt("auc_var"))
@@ -188,26 +193,36 @@ def subgroup_rates(generated: DataFrame, observed: DataFrame, by: Sequence[str])
 
 def aggregate_error(generated: DataFrame, observed: DataFrame, value: str, on: Sequence[str], window: Sequence[str] = ("age_start", "age_stop"), check: bool = True) -> DataFrame:
     """(*window, *on, obs, gen_mean, gen_sd_over_seeds, bias, mae, rmse, n_persons) over seeds. Cells
-    that only one side has are an error."""
+    that only one side has are an error, which the plan itself raises as it runs; without check they are
+    left out."""
     keys = [c for c in window if c in generated.columns]
     people = F.col("n_persons") if "n_persons" in observed.columns else F.lit(None).cast("long")
+    on = list(on)
     truth = observed.select(*on, F.col(value).alias("_obs"), people.alias("_people"), F.lit(1).alias("_right"))
     mine = generated.select(*keys, *on, F.col(value).alias("_gen"), F.lit(1).alias("_left"))
+    both = mine.join(truth, on, "full_outer" if check else "inner")
     if check:
-        odd = mine.select(*on, "_left").distinct().join(truth.select(*on, "_right").distinct(), list(on), "full_outer").where("_left is null or _right is null").limit(10).collect()
-        if odd:
-            raise ValueError(f"cells of only one side: {[{c: r[c] for c in on} for r in odd]}")
+        cell = F.concat(F.lit("cells of only one side: "), F.to_json(F.struct(*on)))
+        odd = F.col("_left").isNull() | F.col("_right").isNull()
+        both = both.withColumn("_obs", F.when(odd, F.raise_error(cell).cast("double")).otherwise(F.col("_obs").cast("double")))
     e = F.col("_gen") - F.col("_obs")
-    return mine.join(truth, list(on)).groupBy(*keys, *on).agg(F.max("_obs").alias("obs"), F.avg("_gen").alias("gen_mean"), F.stddev_samp("_gen").alias("gen_sd_over_seeds"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max("_people").alias("n_persons"))
+    return both.groupBy(*keys, *on).agg(F.max("_obs").alias("obs"), F.avg("_gen").alias("gen_mean"), F.stddev_samp("_gen").alias("gen_sd_over_seeds"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.max("_people").alias("n_persons"))
 
 
-def coverage(runs: DataFrame, scored: DataFrame, condition: DataFrame, settled: DataFrame, all_persons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def coverage(runs: DataFrame, scored: DataFrame, condition: DataFrame, settled: DataFrame, all_persons: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(n_condition, n_evaluable, n_excluded_condition, n_settled, n_uncovered, n_seed_min,
-    n_seed_median, n_seed_max) of one window. condition, settled, all_persons: (person_id); runs: the
-    replicate summary; scored: joined to the truth."""
-    one = lambda df, name: df.agg(F.count_distinct("person_id").alias(name))
-    inside = settled.join(condition, "person_id", "left_semi")
-    out = one(condition, "n_condition").crossJoin(one(scored, "n_evaluable")).crossJoin(one(all_persons, "_all")).crossJoin(one(inside, "n_settled"))
-    out = out.crossJoin(runs.agg(F.min("n").alias("n_seed_min"), F.percentile(F.col("n").cast("double"), F.lit(0.5)).alias("n_seed_median"), F.max("n").alias("n_seed_max")))
+    n_seed_median, n_seed_max), a row for each row of groups, such as windows, whose columns the
+    others but all_persons have too. condition, settled: people; runs: the replicate summary; scored:
+    joined to the truth. all_persons: (person_id)."""
+    by = groups.columns if groups is not None else []
+    one = lambda df, name: df.groupBy(*by).agg(F.count_distinct("person_id").alias(name))
+    link = lambda a, b: a.join(b, by, "left") if by else a.crossJoin(b)
+    inside = settled.join(condition, [*by, "person_id"], "left_semi")
+    seeds = runs.groupBy(*by).agg(F.min("n").alias("n_seed_min"), F.percentile(F.col("n").cast("double"), F.lit(0.5)).alias("n_seed_median"), F.max("n").alias("n_seed_max"))
+    first = one(condition, "n_condition")
+    out = link(groups, first) if by else first
+    for other in (one(scored, "n_evaluable"), one(inside, "n_settled"), seeds):
+        out = link(out, other)
+    out = out.fillna(0, ["n_condition", "n_evaluable", "n_settled"]).crossJoin(all_persons.agg(F.count_distinct("person_id").alias("_all")))
     left = F.greatest(F.col("n_condition") - F.col("n_evaluable") - F.col("n_settled"), F.lit(0))
-    return out.select("n_condition", "n_evaluable", (F.col("_all") - F.col("n_condition")).alias("n_excluded_condition"), "n_settled", left.alias("n_uncovered"), "n_seed_min", "n_seed_median", "n_seed_max")
+    return out.select(*by, "n_condition", "n_evaluable", (F.col("_all") - F.col("n_condition")).alias("n_excluded_condition"), "n_settled", left.alias("n_uncovered"), "n_seed_min", "n_seed_median", "n_seed_max")

@@ -34,7 +34,7 @@ def kaplan_meier(timed: DataFrame, by: Sequence[str] = (), level: float = 0.95)
     safe = F.when(inside, s)
     bend = z * F.sqrt("_g") / F.log(safe)
     edge = lambda sign: F.when(inside, F.pow(safe, F.exp(sign * bend)))
-    joined = curve.join(F.broadcast(sizes), list(by)) if by else curve.crossJoin(F.broadcast(sizes))
+    joined = curve.join(sizes, list(by)) if by else curve.crossJoin(F.broadcast(sizes))  # one row
     return joined.select(*by, "time", "n_at_risk", "n_events", "survival", (s * s * F.col("_g")).alias("greenwood_var"), F.least(edge(1), edge(-1)).alias("ci_lo"), F.greatest(edge(1), edge(-1)).alias("ci_hi"), "n_persons")
 
 
@@ -69,7 +69,7 @@ def attach_pooled(pooled: DataFrame, by_seed: DataFrame, by: Sequence[str]) -> D
     """The pooled curve with k_seeds, mean_var, between_var, pooled_var and se: every seed's curve is
     read at the pooled times."""
     seeds = by_seed.select(*by, "seed").distinct()
-    asked = pooled.select(*by, "time").join(F.broadcast(seeds), list(by)) if by else pooled.select("time").crossJoin(F.broadcast(seeds))
+    asked = pooled.select(*by, "time").join(seeds, list(by)) if by else pooled.select("time").crossJoin(seeds)  # replicates: a handful
     read = step_sample(by_seed, asked, [*by, "seed"], {"survival": 1.0, "greenwood_var": 0.0})
     cells = read.groupBy(*by, "time").agg(F.count(F.lit(1)).alias("k_seeds"), F.avg("greenwood_var").alias("mean_var"), F.var_samp("survival").alias("between_var"))
     return pooled.join(cells, [*by, "time"], "left").withColumns({"pooled_var": F.col("greenwood_var"), "se": F.sqrt("greenwood_var")})

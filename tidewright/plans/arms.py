@@ -102,13 +102,15 @@ def descriptives(study: Study, out: Writer) -> None:
 # -- backtesting ----------------------------------------------------------------------------------
 
 
-def _labelled(df: DataFrame, outcome: str, condition: str | None) -> DataFrame:
+def labelled(df: DataFrame, outcome: str, condition: str | None) -> DataFrame:
+    """df with its window in years and what it is about ahead of the rest."""
     years = lambda c: F.round(F.col(c) / DAYS_PER_YEAR, 2).alias(f"{c}_years")
     rest = [c for c in df.columns if c not in WINDOW]
     return df.select(*WINDOW, *map(years, WINDOW), F.lit(outcome).alias("outcome"), F.lit(condition or "-").alias("condition"), *rest)
 
 
-def _horizon(question: Framed | Counted, jumpoff):
+def horizon(question: Framed | Counted, jumpoff):
+    """The duration, as the question's timing counts it, up to which events belong to its frame."""
     frame = question.frame
     if frame.kind == "within_origin" or (isinstance(question, Framed) and question.timing.origin is not None) or frame.kind == "by_age":
         return F.lit(frame.value)
@@ -145,12 +147,9 @@ def backtesting(study: Study, out: Writer) -> None:
         runs = replicates.summary(mine.join(keep, RUN, "left_semi")).persist(StorageLevel.MEMORY_AND_DISK)
         probabilities = replicates.probability(runs, spec)
         scored = scoring.join_truth(probabilities, truth.join(keep, RUN, "left_semi"), RUN).persist(StorageLevel.MEMORY_AND_DISK)
-        label = lambda df, q=q: _labelled(df, q.name, q.given)
-        for jump in windows:
-            one = lambda df, jump=jump: df.where((F.col("age_start") == jump[0]) & (F.col("age_stop") == jump[1]))
-            settled = outcomes.settled_persons(observed, q, jump[1]) if isinstance(q, Framed) else everyone.limit(0)
-            row = scoring.coverage(one(runs), one(scored), one(keep).select("person_id"), settled, everyone)
-            add("coverage", label(row.withColumns({"age_start": F.lit(jump[0]), "age_stop": F.lit(jump[1])})))
+        label = lambda df, q=q: labelled(df, q.name, q.given)
+        settled = _settled(observed, q, jumps) if isinstance(q, Framed) else None
+        add("coverage", label(scoring.coverage(runs, scored, keep, keep.limit(0) if settled is None else settled, everyone, jumps)))
         thin = [r["age_stop"] for r in runs.groupBy("age_stop").agg(F.percentile("n", F.lit(0.5)).alias("m")).where(F.col("m") < spec.min_replicates).collect()]
         if thin:
             logger.warning("backtesting: %s has a median of fewer than %d replicates at jump-offs %s", q.name, spec.min_replicates, thin)
@@ -161,19 +160,14 @@ def backtesting(study: Study, out: Writer) -> None:
         add("scores", label(scoring.scores(scored, table, WINDOW, spec.level)))
         if isinstance(q, Framed):
             timed, then = outcomes.time_to_event(life, GENERATED, q.timing), outcomes.time_to_event(observed, PERSON, q.timing)
-            horizon = _horizon(q, F.col("age_stop"))
+            until = horizon(q, F.col("age_stop"))
             # A horizon that depends on the window is a column: durations are compared to it row by row.
-            alive = keep.join(_settled(observed, q, jumps), RUN, "left_anti")
-            pairs = scoring.timing_pairs(timed.join(keep, RUN, "left_semi"), then, horizon, alive).persist(StorageLevel.MEMORY_AND_DISK)
+            alive = keep.join(settled, RUN, "left_anti")
+            pairs = scoring.timing_pairs(timed.join(keep, RUN, "left_semi"), then, until, alive).persist(StorageLevel.MEMORY_AND_DISK)
             add("timing_error", label(scoring.timing_error(pairs, WINDOW, min_cell=out.min_cell)))
             add("timing_error_by_seed", label(scoring.timing_error(pairs, [*WINDOW, "seed"], min_cell=out.min_cell)))
-            parts = []
-            for jump in windows:
-                at = _horizon(q, jump[1])
-                limit = at if isinstance(at, int) else q.frame.value
-                one = timed.where(F.col("age_stop") == jump[1]).join(scored.select(*RUN), RUN, "left_semi")
-                parts.append(scoring.timing_coverage(replicates.timing_distribution(one, limit), then, by=WINDOW))
-            cover = _stack(parts).select(*WINDOW, F.lit("timing_coverage").alias("metric"), F.col("coverage").alias("value"))
+            spread = replicates.timing_distribution(timed.join(scored.select(*RUN), RUN, "left_semi"), until)
+            cover = scoring.timing_coverage(spread, then, by=WINDOW).select(*WINDOW, F.lit("timing_coverage").alias("metric"), F.col("coverage").alias("value"))
             n = scored.groupBy(*WINDOW).agg(F.count_distinct("person_id").alias("n_persons"))
             add("scores", label(cover.join(n, WINDOW)))
 
@@ -198,7 +192,7 @@ def _aggregates(study: Study, block, windows, life: DataFrame, out: Writer, add)
         return
     people = life.groupBy(*WINDOW).agg(F.count_distinct("person_id").alias("_people"))
     real = lambda df: df.join(F.broadcast(people), WINDOW).withColumnRenamed("n_persons", "n_units").withColumnRenamed("_people", "n_source_persons")
-    tell = lambda name, df, target: add(name, _labelled(df, target, None))
+    tell = lambda name, df, target: add(name, labelled(df, target, None))
     needs_births = any(not t.startswith("km:") for t in block.aggregate_targets)
     if needs_births:
         born, lived = outcomes.births(life, GENERATED, study.birth), outcomes.spans(life, GENERATED)

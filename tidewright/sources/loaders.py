@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.plans.specs import WINDOW
 from tidewright.sources.schema import SchemaError, require, validate
-from tidewright.units import DAYS_PER_YEAR, years_to_days_col
+from tidewright.units import DAYS_PER_YEAR, years_to_days, years_to_days_col
 
 logger = logging.getLogger(__name__)
 
@@ -39,17 +39,21 @@ def load_observed(spark: SparkSession, path: str, age_unit: str = "days", column
 
 
 def load_generated(spark: SparkSession, path: str, age_unit: str = "days", windows: Sequence[tuple[int, int]] | None = None, seeds: Sequence[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """windows in days. In years, files are filtered by a range of the raw columns, which reaches the
-    scan, and exactly after conversion."""
+    """windows in days. A range of the raw columns, whatever their type, reaches the scan; what it
+    lets through is filtered exactly after conversion."""
     df = spark.read.parquet(path)
     require(df.columns, ["person_id", "seed", *WINDOW, "age", "event"], "generated")
     df = df.select(*columns) if columns else df
     if seeds is not None:
         df = df.where(F.col("seed").isin(*seeds))
-    if windows is not None and age_unit == "years":
+    if windows:
+        unit = DAYS_PER_YEAR if age_unit == "years" else 1
+        whole = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
         for k, c in enumerate(WINDOW):
             ends = [w[k] for w in windows]
-            df = df.where(F.col(c).between((min(ends) - 1) / DAYS_PER_YEAR, (max(ends) + 1) / DAYS_PER_YEAR))
+            lo, hi = (min(ends) - 1) / unit, (max(ends) + 1) / unit
+            # Of the column's own kind, so that no cast keeps the filter from the scan.
+            df = df.where(F.col(c).between(int(lo // 1), int(-(-hi // 1))) if c in whole else F.col(c).between(lo, hi))
     df = in_days(df, [*WINDOW, "age"], age_unit, "generated")
     if windows is not None:
         df = df.where(reduce(lambda a, b: a | b, ((F.col("age_start") == a) & (F.col("age_stop") == b) for a, b in windows), F.lit(False)))
@@ -122,11 +126,20 @@ class Bundle:
         return {"n_persons": n, "sex": sex, "birth_years": (lo, hi)}
 
 
+def wanted_windows(config) -> list[tuple[int, int]] | None:
+    """The windows, in days, that the configured arms name; None if one of them takes all."""
+    arms = [a for a in (config.arms.backtesting, config.arms.forecasting) if a is not None]
+    if not arms or any(a.windows == "all" for a in arms):
+        return None
+    return sorted({(years_to_days(lo), years_to_days(hi)) for a in arms for lo, hi in a.windows})
+
+
 def load_all(spark: SparkSession, config) -> Bundle:
-    """Everything that a configuration names, checked and cross-checked."""
+    """Everything that a configuration names, checked and cross-checked. Of the generated sequences only
+    the windows that some arm reads are scanned."""
     data = config.data
     observed = load_observed(spark, data.observed, data.age_unit)
-    generated = load_generated(spark, data.generated, data.age_unit) if data.generated else None
+    generated = load_generated(spark, data.generated, data.age_unit, wanted_windows(config)) if data.generated else None
     persons = load_persons(spark, data.persons, config.persons.covariates) if data.persons else None
     labels = {r["model_representation"]: r["event_definition"] for r in load_event_definitions(spark, data.event_definitions).collect()} if data.event_definitions else {}
     if persons is not None:

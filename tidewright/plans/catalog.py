@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import dispersion, fertility, outcomes, plausibility, pooling, replicates, scoring, sequences, slicing, survival
-from tidewright.operators.disclosure import suppress
+from tidewright.operators.disclosure import apply_policy, assert_publishable, suppress
 from tidewright.plans.specs import GENERATED, PERSON, RUN, WINDOW, Condition, Counted, Frame, Framed, Replicates, Rule, Timing
-from tidewright.sources import star
+from tidewright.sources import loaders, star
 from tidewright.units import years_to_days
 
 BINS = slicing.AgeBins.years(15, 50, 1.0)
@@ -775,7 +775,18 @@ def _(t):
     return pooling.attach_pooled_ci(whole, seeds, "asfr", "asfr_var", [*WINDOW, "cohort", "age_bin"], clip=(0.0, None)).drop("n_persons")
 
 
-@_query("pooled_ci_km")
+def _km_cte(name: str, source: str, by: str) -> str:
+    inner, _, main = _km_sql(source, by).rpartition(";;")
+    return f"{name} as (with {inner} {main})"
+
+
+@_query("pooled_ci_km", f"""
+    {_km_cte("whole", "life_first", "age_start, age_stop")}, {_km_cte("curves", "life_first", "age_start, age_stop, seed")},
+    asked as (select age_start, age_stop, time, seed from whole join (select distinct age_start, age_stop, seed from curves) using (age_start, age_stop)),
+    read as (select a.age_start, a.age_stop, a.time, coalesce(c.survival, 1) as s, coalesce(c.greenwood_var, 0) as v from asked a
+        asof left join curves c on a.age_start = c.age_start and a.age_stop = c.age_stop and a.seed = c.seed and a.time >= c.time),
+    cells as (select age_start, age_stop, time, count(*) as k_seeds, avg(v) as mean_var, var_samp(s) as between_var from read group by 1, 2, 3) ;;
+    select whole.*, k_seeds, mean_var, between_var, greenwood_var as pooled_var, sqrt(greenwood_var) as se from whole left join cells using (age_start, age_stop, time)""", (*_KM, "mean_var", "between_var", "pooled_var", "se"))
 def _(t):
     timed = t.timed(t.life, GENERATED)
     return survival.attach_pooled(survival.kaplan_meier(timed, WINDOW), survival.kaplan_meier(timed, [*WINDOW, "seed"]), WINDOW)
@@ -913,6 +924,77 @@ def _(t):
     return suppress(cells, ["n"], by=["birth_year"], order=["segment"])
 
 
+# -- labels, score rows, policies ------------------------------------------------------------------
+
+
+def _nested(name: str) -> str:
+    return f"({SQL[name]})"
+
+
+_ROWS = " union all ".join(
+    f"select age_start, age_stop, '{metric}' as metric, {metric} as value from {_nested(query)}" for query, metric in (("ece", "ece"), ("roc_auc", "roc_auc"), ("brier", "brier_raw"), ("brier", "brier_corrected"), ("mse_r2", "mse"), ("mse_r2", "r2"))
+)
+
+
+@_query("score_rows", f"""
+    v as ({_ROWS} union all select age_start, age_stop, 'auc_grid_resolution', 1 / quantile_cont(n::double, 0.5) from scored group by 1, 2),
+    m as (select age_start, age_stop, count(distinct person_id) as n_persons from scored group by 1, 2) ;;
+    select age_start, age_stop, metric, value, ci_lo, ci_hi, n_persons from v join m using (age_start, age_stop) left join {_nested("score_cis")} using (age_start, age_stop, metric)""", ("value", "ci_lo", "ci_hi"))
+def _(t):
+    scored = t.scored.cache()
+    return scoring.scores(scored, scoring.calibration(scored, by=WINDOW), WINDOW)
+
+
+@_query("labelled_counts", "select age_start, age_stop, age_start / 365.25::double as age_start_years, age_stop / 365.25::double as age_stop_years, 'first_within_5' as outcome, '-' as condition, person_id, k, n from counted".replace("age_start / 365.25::double", "round(age_start / 365.25::double, 2)").replace("age_stop / 365.25::double", "round(age_stop / 365.25::double, 2)"))
+def _(t):
+    from tidewright.plans.arms import labelled
+
+    return labelled(replicates.summary(t.evaluated), "first_within_5", None)
+
+
+@_query("horizons", "select age_start, age_stop, 14610 as by_age, age_stop + 1826 as within, 1096 as within_origin from windows")
+def _(t):
+    from tidewright.plans.arms import horizon
+
+    jump = F.col("age_stop")
+    return t.windows.select(*WINDOW, horizon(BY40, jump).alias("by_age"), horizon(IN5, jump).alias("within"), horizon(AFTER3, jump).alias("within_origin"))
+
+
+@_query("pooled_source_persons", _SEED_PPR + """ ;;
+    select age_start, age_stop, parity_from, parity_from + 1 as parity_to, r as n_at_risk, g as n_progressed, u as n_units, ppr, ppr_var, (select count(distinct person_id) from generated) as n_source_persons from p""", ("ppr", "ppr_var"))
+def _(t):
+    return pooling.relabel(_pooled_ppr(t)[0], t.generated.agg(F.count_distinct("person_id")).first()[0])
+
+
+@_query("bins_for_data", "select x::double as age_bin, round_even((x * 365.25)::double, 0)::int as lo, round_even(((x + 1) * 365.25)::double, 0)::int as hi from (select unnest(range(floor(min(age) / 365.25)::bigint, ceil(max(age) / 365.25)::bigint + 1)) as x from (select age from observed union all select age from generated))", ("age_bin",))
+def _(t):
+    return sequences.bins_for([t.observed, t.generated]).table(t.observed)
+
+
+@_query("illegal_moves", """
+    o as (select *, age - lag(age) over w as gap, row_number() over w as r from life where event = 'F' window w as (partition by person_id, seed, age_start, age_stop order by age)) ;;
+    select person_id, seed, age_start, age_stop, age, event, 'spacing' as rule, 'illegal' as severity from o where gap < 365 and age > age_stop
+    union all select person_id, seed, age_start, age_stop, age, event, 'max_count', 'illegal' from o where r > 4 and age > age_stop""")
+def _(t):
+    return plausibility.check_rules(t.life, GENERATED, RULES["rules_spacing"] + RULES["rules_max_count"]).where(F.col("age") > F.col("age_stop"))
+
+
+_HIDDEN = "(n_events between 1 and 3 or n_persons between 1 and 3)"
+
+
+@_query("policy_km", "select segment, time, " + ", ".join(f"case when not {_HIDDEN} then {c} end as {c}" for c in ("n_at_risk", "n_events", *_KM, "n_persons")) + f", {_HIDDEN} as suppressed from {_nested('km_stratified')}", _KM)
+def _(t):
+    curve = survival.kaplan_meier(t.timed(t.observed, PERSON).join(t.persons.select("person_id", "segment"), "person_id"), ["segment"])
+    shown = apply_policy("km_first_birth", curve)
+    assert_publishable("km_first_birth", shown)
+    return shown
+
+
+@_query("persons_from_tokens", "select person_id, 1980::smallint as birth_year from observed where event = 'O' group by 1")
+def _(t):
+    return loaders.persons_from_sequences(t.observed, tokens={M: 1980}, allow_missing=True)
+
+
 @_query("flagship", _QUANTILE_BINS.replace("from scored", "from kept").replace("scored s", "kept s").replace("\n    q as", """
     kept as (select * from scored s where s.person_id not in (select o.person_id from observed o where o.event = 'F' and o.age <= s.age_stop)),
     q as""", 1) + " ;; select age_start, age_stop, bin, bin_left, bin_right, p_mean, y_rate, n, n_persons from cal", ("bin_left", "bin_right", "p_mean", "y_rate"))

@@ -87,6 +87,44 @@ def test_nothing_small_or_personal_is_published(done):
     assert withheld["backtesting"] == ["probabilities"] and "violations" in withheld["forecasting"]
 
 
+def test_every_policy_names_columns_of_its_tables(done):
+    """A policy whose columns aren't there would govern nothing."""
+    known = set()
+    for name, df in tables(done).items():
+        name = name.split("/")[1]
+        if policy := policy_for(name):
+            known.add(name)
+            assert set(policy.counts) & set(df.columns), name
+            if name.startswith(("within_seed", "p_hat", "lexis_cohort_combined", "km_", "ppr", "coverage")):
+                assert set(policy.counts) <= set(df.columns), (name, set(policy.counts) - set(df.columns))
+    assert len(known) > 20
+
+
+def test_nothing_is_on_disk_of_a_table_that_fails(spark, tmp_path, monkeypatch):
+    from tidewright.operators.disclosure import DisclosureError
+    from tidewright.sources.publish import Writer
+
+    monkeypatch.setattr(Writer, "suppressed", lambda self, name, df: df)
+    out = Writer("a", str(tmp_path), "m", 3)
+    with pytest.raises(DisclosureError, match="n_events"):
+        out.table("km_x", spark.createDataFrame([(1, 2, 9)], "time bigint, n_events bigint, n_persons bigint"))
+    assert not os.path.exists(tmp_path / "a" / "km_x.parquet") and out.written == []
+
+
+def test_only_wanted_windows_are_scanned(spark, home, tmp_path):
+    raw = copy.deepcopy(CONFIG)
+    raw["arms"]["forecasting"]["windows"] = [[0, 25]]
+    raw["arms"]["backtesting"]["windows"] = [[0, 25]]
+    raw["data"] = {k: f"{home}/{v}" for k, v in raw["data"].items()}
+    (tmp_path / "w.yaml").write_text(yaml.safe_dump(raw))
+    config = settings.load_config(str(tmp_path / "w.yaml"))
+    assert loaders.wanted_windows(config) == [(0, A(25))] and loaders.wanted_windows(settings.load_config(f"{home}/demo.yaml")) is None
+    bundle = loaders.load_all(spark, config)
+    assert {(r["age_start"], r["age_stop"]) for r in bundle.windows().collect()} == {(0, A(25))}
+    plan = loaders.load_generated(spark, config.data.generated, windows=[(0, A(25))])._jdf.queryExecution().toString()
+    assert f"EqualTo(age_stop,{A(25)})" in plan.split("PushedFilters")[1]
+
+
 def test_manifest_and_report(done, home):
     about = json.loads((done / "manifest.json").read_text())
     assert about["config_hash"] == settings.load_config(f"{home}/demo.yaml").hash()
@@ -94,7 +132,28 @@ def test_manifest_and_report(done, home):
     for arm in about["arms"]:
         assert arm["status"] == "ok" and all(os.path.exists(done / x) for x in arm["outputs"])
     page = (done / "report.html").read_text()
-    assert "<svg" in page and "coverage" in page and "person_id" not in page
+    assert "<svg" in page and "n_uncovered" in page and "person_id" not in page
+    for says in ("Calibration", "Timing", "What is known and what differs", "Rates by cohort and age", "P(1st birth by age 40 | p0) from the jump-off, from age 25", "roc_auc"):
+        assert says in page, says
+
+
+def test_figures_compare(done):
+    """Observed curves in black over generated ones, ridges, fans, spikes and the frontier."""
+    found = {x.removesuffix(".svg") for arm in ("descriptives", "backtesting", "forecasting") for x in os.listdir(done / arm) if x.endswith(".svg")}
+    for start in ("km_overlay_first_birth_25", "km_overlay_first_birth_all", "ccf_overlay_all", "ccf_overlay_25", "ppr_overlay_all", "ccf_inference_vs_outcome", "reliability_", "timing_error_", "within_seed_quantile_fan"):
+        assert any(x.startswith(start) for x in found), (start, sorted(found))
+    km = (done / "backtesting" / "km_overlay_first_birth_25.svg").read_text()
+    assert "observed" in km and 'stroke="#111"' in km and "generated" in km
+
+
+def test_titles_of_questions():
+    from tidewright.plans.figures import question_title
+    from tidewright.plans.specs import Counted, Frame, Framed, Timing
+
+    first, label = Timing("F"), {"F": "birth"}.get
+    assert question_title(Framed("x", first, Frame("by_age", A(40)), "p0"), A(25), label) == "P(1st birth by age 40 | p0) from age 25"
+    assert question_title(Framed("x", Timing("F", 2, first), Frame("within_origin", A(3))), None, label) == "P(2nd birth within 3y of its origin) from the jump-off"
+    assert question_title(Counted("x", "F", 1, Frame("within", A(5))), A(30), label) == "P(≥1 birth within 5y after age 30)"
 
 
 def test_figures_are_redrawn_the_same(done):

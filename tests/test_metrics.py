@@ -190,8 +190,8 @@ def test_aggregate_errors(spark):
     gen = spark.createDataFrame([(0, 9, s, 1970, v) for s, v in enumerate((1.0, 2.0))], "age_start int, age_stop int, seed int, cohort int, ccf double")
     obs = spark.createDataFrame([(1970, 1.0, 5)], "cohort int, ccf double, n_persons bigint")
     assert rows(scoring.aggregate_error(gen, obs, "ccf", ["cohort"]), "obs", "bias", "mae", "rmse", "n_persons") == [(1.0, 0.5, 0.5, pytest.approx(math.sqrt(0.5)), 5)]
-    with pytest.raises(ValueError, match="1975"):
-        scoring.aggregate_error(gen, obs.unionByName(obs.withColumn("cohort", F.lit(1975))), "ccf", ["cohort"])
+    with pytest.raises(Exception, match="cells of only one side.*1975"):
+        scoring.aggregate_error(gen, obs.unionByName(obs.withColumn("cohort", F.lit(1975))), "ccf", ["cohort"]).collect()
 
 
 RULES = {
@@ -269,3 +269,17 @@ def test_subgroups_and_coverage(spark):
     ids = lambda *x: spark.createDataFrame([(k,) for k in x], "person_id bigint")
     got = scoring.coverage(runs, ids(1), ids(1, 2, 3), ids(3, 9), ids(1, 2, 3, 4)).first()
     assert tuple(got) == (3, 1, 1, 1, 1, 2, 4.0, 6) and RUN
+
+
+def test_coverage_of_windows_is_that_of_each(spark):
+    at = lambda *r: spark.createDataFrame(list(r), "age_start int, age_stop int, person_id bigint")
+    runs = spark.createDataFrame([(0, 9, 1, 3), (0, 9, 2, 5), (0, 8, 1, 2)], "age_start int, age_stop int, person_id bigint, n bigint")
+    groups = spark.createDataFrame([(0, 7), (0, 8), (0, 9)], "age_start int, age_stop int")
+    everyone = spark.createDataFrame([(x,) for x in range(1, 6)], "person_id bigint")
+    condition, settled = at((0, 9, 1), (0, 9, 2), (0, 9, 3), (0, 8, 1)), at((0, 9, 3), (0, 9, 4), (0, 8, 2))
+    got = {r["age_stop"]: r for r in scoring.coverage(runs, at((0, 9, 1), (0, 8, 1)), condition, settled, everyone, groups).collect()}
+    own = lambda df, w: df.where(f"age_stop = {w}").drop("age_start", "age_stop")
+    for w in (8, 9):
+        alone = scoring.coverage(own(runs, w), own(at((0, 9, 1), (0, 8, 1)), w), own(condition, w), own(settled, w), everyone).first().asDict()
+        assert {k: v for k, v in got[w].asDict().items() if k not in ("age_start", "age_stop")} == alone
+    assert (got[7]["n_condition"], got[7]["n_excluded_condition"], got[7]["n_seed_min"]) == (0, 5, None)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+logger = logging.getLogger(__name__)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -64,27 +71,73 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS = 200_000
 
 
+#: Tables of the scratch scopes that are open, the innermost last; folders to remove when the driver ends.
+_SCOPES: list[list[str]] = []
+_FOLDERS: set[str] = set()
+
+
 def cut(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again. The lineage ends there,
     and a lost executor costs a re-read instead of a recomputation. rows: how many there are at most,
-    so that a small table isn't spread over as many files as the session has shuffle partitions."""
+    so that a small table isn't spread over as many files as the session has shuffle partitions.
+
+    The table goes when the scratch scope it was made in ends, unless keep() hands it on, and with the
+    application's folder when the driver ends."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tidewright-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def _remove(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except (Py4JError, OSError) as e:  # the JVM may be gone before the driver's last step
+        logger.warning("%s stays: %s", path, e)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Removes a table that cut() wrote and nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration(), path)
+        for scope in _SCOPES:
+            if path in scope:
+                scope.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are removed at its end, but for those that keep() names."""
+    scope: list[str] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        for path in scope:
+            _remove(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, a table that cut() made, now belongs to the scope around the innermost one."""
+    path = df._cut_path
+    if _SCOPES and path in _SCOPES[-1]:
+        _SCOPES[-1].remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return df
 
 
 def crc_remainder(doc_id: Column, mod: int = 5) -> Column:

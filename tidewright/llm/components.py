@@ -2,9 +2,10 @@
 
 Each round replaces the edges by stars: every node points its larger neighbours to the smallest
 node it sees (large star), then its smaller neighbours and itself (small star). Minima combine on
-the map side, so a hub costs no task more than its share; the join back is an equi-join whose hot
-partitions adaptive execution splits. Edges never exceed their first number, rounds are about the
-logarithm of the longest path squared at worst, and each round is a table in the shared folder.
+the map side. The join back to them is by node, so the edges of a hub meet in one task of a round
+unless adaptive execution splits that partition; rows there are two ids wide, and after the first
+rounds each node has one edge. Edges never exceed their first number, rounds are about the logarithm of
+the longest path squared at worst, and each round is a table in the shared folder.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, cut, fresh, text_of
+from tidewright.llm.common import bounded_batches, cut, fresh, keep, scratch, text_of
 from tidewright.llm.url_filter import host_of
 
 #: Different pages on which a text must return to be template, in slots outside of an article and inside,
@@ -456,7 +456,8 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", agree: in
     ends; empty if there is none. Null html counts as empty, null urls are one host, pages are read
     whole, however deep or broken, repeated rows give a row each, an empty table an empty result; a
     column named text is replaced."""
-    found = wrappers(pages, url=url, html=html, agree=agree, agree_inside=agree_inside, share=share)
+    with scratch(pages.sparkSession):
+        found = keep(wrappers(pages, url=url, html=html, agree=agree, agree_inside=agree_inside, share=share))
     size = found.agg(F.sum(F.length(F.array_join("wrappers", "")) + 16 * F.size("constant"))).first()[0] or 0
     rest = [c for c in pages.columns if c not in (html, "text")]
     host = fresh(pages.columns, "_host")

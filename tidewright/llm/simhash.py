@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, cut, text_of
+from tidewright.llm.common import bounded_batches, cut, keep, scratch, text_of
 from tidewright.llm.components import connected_components
 
 SEED = 42
@@ -297,11 +297,12 @@ def components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size
     row; a null key is a component_id only where the component has no other; an empty table gives an
     empty result; other columns of docs play no part.
     """
-    own = cut(fingerprints(docs, text=text, key=key, size=size), "fingerprints")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    own = own.select(key, hexed.alias("fingerprint"), F.unhex(hexed).alias("point"))
-    points = own.groupBy("point").agg(F.min(key).alias("least"))
-    classes = _classes(points, links(points.select("point"), radius, parts=parts, bucket=bucket), own.count())
+    with scratch(docs.sparkSession):
+        own = keep(cut(fingerprints(docs, text=text, key=key, size=size), "fingerprints"))
+        hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+        own = own.select(key, hexed.alias("fingerprint"), F.unhex(hexed).alias("point"))
+        points = own.groupBy("point").agg(F.min(key).alias("least"))
+        classes = keep(_classes(points, links(points.select("point"), radius, parts=parts, bucket=bucket), own.count()))
     return own.join(classes, "point").select(key, "fingerprint", "component_id")
 
 
@@ -501,19 +502,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     Jaccard similarity or more, among those that share a table's key. component_id is the smallest key
     that links reach. Rows without words are in no component and have their own key; nulls, repeats
     and empty tables as in components()."""
-    own = cut(set_points(docs, text=text, key=key, size=size), "points")
-    points = cut(own.where("point is not null").groupBy("point", "keys").agg(F.min(key).alias("least")), "distinct")
-    most, count = far_bits(similarity), own.count()
-    dealt = points.select(F.explode("keys").alias("part"), "point").repartition("part").sortWithinPartitions("part")
-    done = cut(dealt.mapInArrow(lambda batches: _first_links(batches, most, bucket), "a binary, b binary, part bigint"), "first")
-    members = done.where("part is not null").select("part", F.col("a").alias("point"))
-    edges = cut(done.where("part is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    wanted = cut(points.join(members.select("point").distinct(), "point").select(F.col("least").alias("_k"), "point"), "wanted")
-    sets = _shingle_sets(docs, text, key, wanted, size)
-    near = cut(_jaccard(edges, sets, similarity), "near")
-    # Whatever the forests left open: after it each pair of a bucket is linked, refuted or in one component.
-    near = near.unionByName(_untried(members, near, sets, similarity, bucket))
-    return own.join(_classes(points.select("point", "least"), near, count), "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
+    with scratch(docs.sparkSession):
+        own = keep(cut(set_points(docs, text=text, key=key, size=size), "points"))
+        points = cut(own.where("point is not null").groupBy("point", "keys").agg(F.min(key).alias("least")), "distinct")
+        most, count = far_bits(similarity), own.count()
+        dealt = points.select(F.explode("keys").alias("part"), "point").repartition("part").sortWithinPartitions("part")
+        done = cut(dealt.mapInArrow(lambda batches: _first_links(batches, most, bucket), "a binary, b binary, part bigint"), "first")
+        members = done.where("part is not null").select("part", F.col("a").alias("point"))
+        edges = cut(done.where("part is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+        wanted = cut(points.join(members.select("point").distinct(), "point").select(F.col("least").alias("_k"), "point"), "wanted")
+        sets = _shingle_sets(docs, text, key, wanted, size)
+        near = cut(_jaccard(edges, sets, similarity), "near")
+        # Whatever the forests left open: after it each pair of a bucket is linked, refuted or in one component.
+        near = near.unionByName(_untried(members, near, sets, similarity, bucket))
+        classes = keep(_classes(points.select("point", "least"), near, count))
+    return own.join(classes, "point", "left").select(key, F.coalesce("component_id", key).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

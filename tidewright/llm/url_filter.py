@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, cut
+from tidewright.llm.common import ascii_lower, cut, keep, scratch
 from tidewright.llm.components import connected_components
 
 #: Up to so many rules become one expression; more are joined, with the same result.
@@ -157,8 +157,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]], *, key: str
     result = lambda df, hit: df.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("own", F.when(hit, "block"), F.lit("allow")).alias("verdict"), (hit & F.col("own").isNull()).alias("propagated"))
     if edges is None:
         return result(own, F.lit(False))
-    member = connected_components(edges)
-    seen = judged(member, rules, F.concat(F.lit("://"), F.col("node")))
-    bad = seen.where("own = 'block'").select("root").distinct()
-    hit = cut(seen.where("own is null").join(bad, "root", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit")), "blocked")
+    with scratch(pages.sparkSession):
+        seen = judged(connected_components(edges), rules, F.concat(F.lit("://"), F.col("node")))
+        bad = seen.where("own = 'block'").select("root").distinct()
+        hit = keep(cut(seen.where("own is null").join(bad, "root", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit")), "blocked"))
     return result(own.withColumn("_node", node_of(F.col("_url"))).join(hit, "_node", "left"), F.coalesce("_hit", F.lit(False)))

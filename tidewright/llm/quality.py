@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidewright.llm.common import bounded_batches, crc_remainder, text_of, with_text
 
@@ -21,8 +22,9 @@ BITS = 18
 BUCKETS = 1 << BITS
 #: Byte n-grams beside whole words.
 GRAMS = (2, 3, 4, 5)
-#: Labelled rows of each class that the fit reads at most: the bound of the training sample.
-SAMPLE = 2000
+#: Labelled rows of each class that the fit reads at most, and bytes of text of each class: the bound of
+#: the training sample. Texts are taken whole, in the order of their keys' hashes.
+SAMPLE, SAMPLE_BYTES = 2000, 16 << 20
 DIM, EPOCHS, RATE, SEED = 8, 8, 0.5, 7
 #: Bytes that one scoring step hashes at a time.
 STEP = 1 << 20
@@ -126,17 +128,21 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
     return Model(gain, float(offset[1] - offset[0]) + odds)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str, sample: int) -> tuple[list[str], list[int], float]:
+def training_sample(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float]:
     """Texts, labels and the share of label 1. Of the labelled rows outside the held-out fifth, each
-    class gives those whose keys have the smallest hashes, sample rows at most. Null keys and labels
-    other than 0 and 1 are left out; a key with several labels has the smallest."""
+    class gives those whose keys have the smallest hashes, sample rows and sample_bytes at most; the
+    first that goes beyond the bytes and what follows it are left out. Null keys and labels other than
+    0 and 1 are left out; a key with several labels has the smallest, with several texts the largest."""
     own = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1))
     own = own.where(crc_remainder(F.col("_k")) != 0).groupBy("_k").agg(F.min("_y").alias("_y"))
     n = dict(own.groupBy("_y").count().collect())
     parts = [own.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 x sample keys: small enough to broadcast by its bound
     rows = docs.select(F.col(key).alias("_k"), text_of(docs[text]).alias("_t")).join(F.broadcast(chosen), "_k")
-    found = sorted(rows.groupBy("_k").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y")).collect(), key=lambda r: (r["_y"], str(r["_k"])))
+    one = rows.groupBy("_k").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y"))
+    so_far = W.partitionBy("_y").orderBy(F.xxhash64("_k"), "_k").rowsBetween(W.unboundedPreceding, 0)  # 2 x sample rows
+    one = one.withColumn("_b", F.sum(F.octet_length("_t").cast("long")).over(so_far)).where(F.col("_b") <= sample_bytes)
+    found = sorted(one.select("_k", "_t", "_y").collect(), key=lambda r: (r["_y"], str(r["_k"])))
     return [r["_t"] for r in found], [r["_y"] for r in found], n.get(1, 0) / max(1, sum(n.values()))
 
 

@@ -941,7 +941,7 @@ _ROWS = " union all ".join(
     m as (select age_start, age_stop, count(distinct person_id) as n_persons from scored group by 1, 2) ;;
     select age_start, age_stop, metric, value, ci_lo, ci_hi, n_persons from v join m using (age_start, age_stop) left join {_nested("score_cis")} using (age_start, age_stop, metric)""", ("value", "ci_lo", "ci_hi"))
 def _(t):
-    scored = t.scored.cache()
+    scored = t.scored
     return scoring.scores(scored, scoring.calibration(scored, by=WINDOW), WINDOW)
 
 
@@ -995,6 +995,17 @@ def _(t):
     return loaders.persons_from_sequences(t.observed, tokens={M: 1980}, allow_missing=True)
 
 
+@_query("ages_in_days", "select person_id, round_even(round(age / 365.25::double, 4) * 365.25::double, 0)::int as age, event from observed")
+def _(t):
+    years = t.observed.withColumn("age", F.round(F.col("age") / 365.25, 4))
+    return loaders.in_days(years, ["age"], "years", "observed")
+
+
+@_query("known_people", "select * from observed where person_id in (select person_id from persons where birth_year < 1970)")
+def _(t):
+    return loaders.drop_unknown(t.observed, t.persons.where("birth_year < 1970"), "observed")
+
+
 @_query("flagship", _QUANTILE_BINS.replace("from scored", "from kept").replace("scored s", "kept s").replace("\n    q as", """
     kept as (select * from scored s where s.person_id not in (select o.person_id from observed o where o.event = 'F' and o.age <= s.age_stop)),
     q as""", 1) + " ;; select age_start, age_stop, bin, bin_left, bin_right, p_mean, y_rate, n, n_persons from cal", ("bin_left", "bin_right", "p_mean", "y_rate"))

@@ -15,6 +15,8 @@ from tidewright.operators.disclosure import MIN_CELL
 from tidewright.plans.specs import Condition, Counted, Frame, Framed, Grid, Replicates, Rule, Timing
 from tidewright.units import years_to_days
 
+# The names, kinds and defaults of the fields of the models below, up to the resolving
+# functions, are the published format of configurations.
 TARGETS = ("ccf", "asfr_cohort", "ppr")
 
 

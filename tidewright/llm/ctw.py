@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import bounded_batches, crc_remainder, cut, text_of
+from tidewright.llm.common import bounded_batches, crc_remainder, cut, keep, scratch, text_of
 
 DEPTH = 5
 #: Depth of the contexts that the tree is dealt out by.
@@ -33,7 +33,7 @@ DEALT = 3
 #: Words whose counts and runs whose logarithms every worker holds; the others are looked up by a join.
 FREQUENT, RUNS = 200_000, 1 << 20
 #: Distinct words and runs a task holds before it hands them on, runs it weighs and places it scores at a time.
-HELD, CHUNK, WINDOW = 400_000, 200_000, 1 << 22
+HELD, CHUNK, WINDOW = 400_000, 200_000, 1 << 21
 #: Bytes that no UTF-8 text has: what ends a text, and what stands before its first byte.
 END, BEFORE = 0xFF, 0xFE
 
@@ -52,17 +52,21 @@ def stream_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
 
 
-def runs_of(data: np.ndarray) -> Iterator[np.ndarray]:
-    """The runs of a stream's symbols, WINDOW of its bytes at a time, as numbers: the newest context
+def runs_of(data: np.ndarray, window: int = WINDOW) -> Iterator[np.ndarray]:
+    """The runs of a stream's symbols, window of its bytes at a time, as numbers: the newest context
     byte is the highest byte, the symbol the lowest, so the runs of a context are neighbours."""
-    for at in range(0, max(0, len(data) - DEPTH), WINDOW):
-        part = data[at : at + WINDOW + DEPTH]
-        wide = part.astype(np.uint64)
-        n = len(part) - DEPTH
-        code = wide[DEPTH:].copy()
-        for k in range(1, DEPTH + 1):
-            code |= wide[DEPTH - k : DEPTH - k + n] << np.uint64(8 * (DEPTH + 1 - k))
-        yield code[part[DEPTH:] != BEFORE].astype(np.int64)
+    for at in range(0, max(0, len(data) - DEPTH), window):
+        yield _runs_of_part(data[at : at + window + DEPTH])
+
+
+def _runs_of_part(part: np.ndarray) -> np.ndarray:
+    wide = part.astype(np.int64)
+    n = len(part) - DEPTH
+    code, shifted = wide[DEPTH:].copy(), np.empty(n, np.int64)
+    for k in range(1, DEPTH + 1):
+        np.left_shift(wide[DEPTH - k : DEPTH - k + n], 8 * (DEPTH + 1 - k), out=shifted)
+        code |= shifted
+    return code[part[DEPTH:] != BEFORE]
 
 
 def run_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -356,14 +360,15 @@ def scored(docs: DataFrame, train: Column | None = None, *, text: str = "text",
     spark = docs.sparkSession
     train = F.coalesce(crc_remainder(docs[key]) != 1 if train is None else train, F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("_id"), F.col(key).alias("_k"), text_of(docs[text]).alias("_t"), train.alias("_train"))
-    counted = cut(statistics(rows, F.col("_t"), F.col("_train")), "statistics")
-    words = cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    with scratch(spark):
+        counted = cut(statistics(rows, F.col("_t"), F.col("_train")), "statistics")
+        words = keep(cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words"))
+        logs = keep(log_probabilities(counted.where("run is not null").groupBy("run").agg(F.sum("n").alias("n"))))
     distinct, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     floor = math.log10(tokens + 0.5 * (distinct + 1))
-    logs = log_probabilities(counted.where("run is not null").groupBy("run").agg(F.sum("n").alias("n")))
     held = most_frequent(logs, "run", "n", runs).select("run", "l").toArrow()
     top = most_frequent(words, "word", "c", frequent).toArrow()
-    known = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    known = {w: math.log10(c + 0.5) - floor for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True)}
     shared = spark.sparkContext.broadcast((held.column("run").to_numpy(), held.column("l").to_numpy().astype(np.float32)))
     common = spark.sparkContext.broadcast(known)
     bounded_batches(spark)
@@ -374,7 +379,7 @@ def scored(docs: DataFrame, train: Column | None = None, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_runs, known_logs = shared.value
         known_runs = pa.array(known_runs)
-        logs = {w: math.log10(c + 0.5) - floor for w, c in common.value.items()}
+        logs = common.value
         whole = len(logs) == distinct  # no word is anywhere else
         names = [x.split()[0] for x in schema.split(", ")]
 
@@ -420,17 +425,19 @@ def scored(docs: DataFrame, train: Column | None = None, *, text: str = "text",
             ends = np.cumsum(sizes)
             score = np.zeros(len(texts))
             done = 0
-            for codes in runs_of(data):
-                owner = np.searchsorted(ends, np.arange(done, done + len(codes)), side="right")
-                done += len(codes)
+            for codes in runs_of(data, WINDOW):
+                if not len(codes):  # all of it lies between two texts
+                    continue
                 at = pc.index_in(pa.array(codes), value_set=known_runs)
                 missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False)) if at.null_count else np.zeros(0, np.int64)
-                value = known_logs[at.fill_null(0).to_numpy()].astype(np.float64) if len(known_logs) else np.zeros(len(codes))
+                value = known_logs[at.fill_null(0).to_numpy()] if len(known_logs) else np.zeros(len(codes), np.float32)
                 value[missing] = 0.0
-                score += np.bincount(owner, value, len(texts))
+                first, last = np.searchsorted(ends, (done, done + len(codes) - 1), side="right")
+                score[first : last + 1] += np.add.reduceat(value, np.maximum(ends[first : last + 1] - sizes[first : last + 1] - done, 0), dtype=np.float64)
                 for lo in range(0, len(missing), 50_000):
                     some = missing[lo : lo + 50_000]
-                    yield rest(b, ids[owner[some]].tolist(), None, codes[some], np.ones(len(some), np.int64))
+                    yield rest(b, ids[np.searchsorted(ends, done + some, side="right")].tolist(), None, codes[some], np.ones(len(some), np.int64))
+                done += len(codes)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array([len(t) for t in texts], pa.int64())]
                 + [pa.nulls(len(texts), x) for x in (pa.binary(), pa.int64(), pa.int64())],

@@ -81,9 +81,9 @@ def token_bytes(path: str) -> list[bytes]:
     return [bytes(map(back.__getitem__, x or "")) for x in shown]
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[tuple[bytes, bytes]]:
-    """Of each text the ids and, for each token, the start and end of the code points that it covers or
-    shares, all as little-endian unsigned 32 bits. In texts of common characters the pieces are found
+def encode_texts(texts: list[str], path: str, pattern: str, offsets: bool = True) -> list[tuple[bytes, bytes]]:
+    """Of each text the ids and, if wanted, for each token the start and end of the code points that it
+    covers or shares, all as little-endian unsigned 32 bits. In texts of common characters the pieces are found
     first, and only those not met before go through the library: words repeat."""
     finder, odd, memory = _memory(pattern, path)
     plain = [finder is not None and not odd.search(text) for text in texts]
@@ -95,11 +95,13 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[tuple[bytes,
         new = list({p for found in pieces if found for p in found})
     if new:
         memory.update(zip(new, encode_whole(new, path, None), strict=True))
-    return [next(rest) if found is None else _joined([memory[p] for p in found], found) for found in pieces]
+    return [next(rest) if found is None else _joined([memory[p] for p in found], found, offsets) for found in pieces]
 
 
-def _joined(parts: list[tuple[bytes, bytes]], pieces: list[str]) -> tuple[bytes, bytes]:
+def _joined(parts: list[tuple[bytes, bytes]], pieces: list[str], offsets: bool) -> tuple[bytes, bytes]:
     ids = b"".join([x for x, _ in parts])
+    if not offsets:
+        return ids, b""
     spans = np.frombuffer(b"".join([x for _, x in parts]), "<u4")
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     counts = np.fromiter([len(x) for _, x in parts], np.int64, len(parts)) // 4
@@ -160,7 +162,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, offsets: bool,
         for whole in batches:
             for at in range(0, whole.num_rows, CALL_ROWS):
                 batch = whole.slice(at, CALL_ROWS)
-                found = encode_texts(batch.column(batch.num_columns - 1).to_pylist(), path, pattern)
+                found = encode_texts(batch.column(batch.num_columns - 1).to_pylist(), path, pattern, offsets)
                 more = {"ids_le": pa.array([x for x, _ in found], pa.binary()), "n_tokens": pa.array([len(x) // 4 for x, _ in found], pa.int64())}
                 if offsets:
                     more["offsets_le"] = pa.array([x for _, x in found], pa.binary())

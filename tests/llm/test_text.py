@@ -255,6 +255,11 @@ def test_windows_keep_turns_and_learn_each_target_once():
         assert back == turns and loss == [t for r, t in turns if r == "assistant"]
 
 
+def test_digests_are_the_same_dealt_again(spark, sf):
+    formatted = chat.format_windows(spark.read.parquet(f"{sf}/conversations.parquet"), budget=200)
+    assert sorted(map(tuple, chat.digests(formatted, dealt=True).collect())) == sorted(map(tuple, chat.digests(formatted.repartition(5)).collect()))
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, None, None, None), (2, 5, "assistant", "x" * 50_000), (2, None, "system", "s")]
     conversations = spark.createDataFrame([(*r, "z", "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, window string, mask string")
@@ -556,6 +561,27 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 300 and right / len(held) > 0.97
 
 
+def test_quality_query_is_the_model_on_every_text(spark, sf):
+    """Held-out marks, scores and predictions of all rows, by a model that is trained and asked apart."""
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marks = sorted((r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["quality"] in (0, 1) and r["doc_id"] in rows)
+    known = sorted(marks, key=lambda x: (x[1], str(x[0])))
+    model = quality.fit([rows[k] for k, _ in known], [y for _, y in known], sum(y for _, y in marks) / len(marks))
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, sf).collect()}
+    assert set(got) == set(rows)
+    for k, t in rows.items():
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0)
+        assert got[k]["score"] == pytest.approx(model.score(t)) and got[k]["predicted"] == (got[k]["score"] >= 0.3)
+
+
+def test_the_training_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "word " * 1000) for k in range(1, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id bigint, quality int")
+    texts, marks, share = quality.training_sample(docs, labels, text="text", key="doc_id", label="quality", sample=100, sample_bytes=15_000)
+    assert marks.count(0) == marks.count(1) == 3 and all(len(t) == 5000 for t in texts) and 0.3 < share < 0.7
+
+
 def test_quality_of_odd_rows(spark):
     docs = clashing(odd_documents(spark))
     labels = spark.createDataFrame([(4, 1), (5, None), (6, 0), (6, 1), (None, 1), (10, 1), (99, 0)], "doc_id bigint, quality int")
@@ -628,6 +654,7 @@ def test_tree_scores_match_the_definition(spark, monkeypatch, chunk, runs):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(ctw, "CHUNK", chunk)
+    monkeypatch.setattr(ctw, "WINDOW", chunk)
     train = ["abracadabra", "ABRA", "cad", "", "ab ab ab", "été", "a\0b"]
     held_out = ["abracad", "zebra", "", "ab ab", "a", "a\0", "été é", "ab" * 200]
     rows = [(k, t, k < len(train)) for k, t in enumerate(train + held_out)]

@@ -179,12 +179,14 @@ def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: i
     return dealt.mapInArrow(run, f"conv_id {kind.simpleString()}, window bigint, text string, first_turn bigint, n_turns bigint, n_repeated bigint, mask array<struct<start:bigint,end:bigint>>")
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame, *, dealt: bool = False) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows) read back
     from format_windows()' texts and masks alone: own turns in order, and all text under the mask,
-    unescaped."""
+    unescaped. dealt: formatted comes from format_windows() as it is, whose tasks give a conversation's
+    windows one after the other, so they are read where they were made. No windows give no rows."""
     kind = formatted.schema["conv_id"].dataType
-    dealt = formatted.select("conv_id", "window", "text", "n_repeated", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    rows = formatted.select("conv_id", "window", "text", "n_repeated", "mask")
+    rows = rows if dealt else rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -192,7 +194,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         first = next(batches, None)
         if first is None:
             return
-        rows = []
+        found = []
         for conv, group in itertools.groupby(_grouped(itertools.chain([first], batches)), key=lambda r: r[0]):
             all_turns, loss = sha256(), sha256()
             n = loss_chars = chars = count = 0
@@ -206,10 +208,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                     own = unescape(text[span["start"] : span["end"]])
                     loss_chars += len(own)
                     loss.update(own.encode("utf-8", "surrogatepass"))
-            rows.append((conv, n, all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars, count))
-        if rows:
+            found.append((conv, n, all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars, count))
+        if found:
             types = [first.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")

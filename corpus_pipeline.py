@@ -33,8 +33,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id.
-    Texts without words, and rows without doc_id, stay."""
+    """Of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id:
+    SimHash fingerprints, buckets of covering masks, minima for pairs beyond their radius, exact
+    similarity. Texts without words, and rows without doc_id, stay."""
     return simhash.drop_near_duplicates(docs)
 
 

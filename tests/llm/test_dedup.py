@@ -200,3 +200,31 @@ def test_hot_group_of_pages_that_differ_in_a_number(spark):
     rows = [(k, " ".join([*words[:100], str(k), *words[100:200], str(7 * k), *words[200:]])) for k in range(600)] + [(9999, "some other page of no group at all")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=32).collect()}
     assert got == {k: 9999 if k == 9999 else 0 for k, _ in rows}
+
+
+def test_near_duplicates_within_the_radius_need_no_minima(spark, monkeypatch):
+    """Covering masks alone find every pair of the similarity whose fingerprints are within the radius."""
+    monkeypatch.setattr(simhash, "table_keys", lambda hashes: np.zeros(0, np.uint64))
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    originals = [[word() for _ in range(400)] for _ in range(60)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(originals)]
+    rows += [(1000 + k, " ".join([*w[:200], word(), *w[201:], *(word() for _ in range(k % 9))])) for k, w in enumerate(originals)]
+    text, docs = dict(rows), spark.createDataFrame(rows, "doc_id bigint, text string")
+    wide = {r["doc_id"]: np.frombuffer(r["point"], ">u8")[2:] for r in simhash.set_points(docs).collect()}
+    near = {k for k in range(60) if np.bitwise_count(wide[k] ^ wide[1000 + k]).sum() <= 19}
+    assert 30 < len(near) < 60 and all(jaccard(text[k], text[1000 + k]) >= 0.8 for k in near)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[1000 + k] == k for k in near)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {k for k in text if got[k] == k}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_rows_that_share_a_part_are_told_once(size):
+    import pyarrow as pa
+
+    rnd = random.Random(15)
+    parts = np.array(sorted(rnd.randrange(400) for _ in range(500)), np.int64)
+    table = pa.table({"part": parts, "digest": np.arange(500)})
+    got = [tuple(r.values()) for b in simhash._shared(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert got == [(p, k) for k, p in enumerate(parts.tolist()) if (parts == p).sum() > 1]

@@ -11,14 +11,19 @@ bucket, never as all its pairs. A bucket that outgrows BUCKET is dealt out again
 bits outside its mask: of r+1 blocks, a pair within the radius agrees on one. So no bucket is cut
 short, and no task holds more than BUCKET fingerprints of one.
 
-Near-duplicates by similarity are found on keys of the shingle sets themselves, so that it doesn't
-matter where a text was edited, extended or cut: each of TABLES tables has a key made of MINIMA
-minima of random orders of the set, and two sets of Jaccard similarity J share a table's key with
-probability J^MINIMA. A wide fingerprint of the shingles orders the pairs of a bucket and rules out
-those that are far apart by any measure; every other link is decided by exact Jaccard similarity:
-first the edges of each bucket's minimum spanning forest, which unite most texts that belong together,
-then all pairs of a bucket whose texts these leave in different components. So each pair that shares a
-key is linked, refuted, or in one component by other links.
+Near-duplicates by similarity are found by the same covering masks, on a wide fingerprint of the set of
+shingles: of its words of 64 bits one has at most its share of RADIUS differing bits, so each pair within
+RADIUS shares the key of one mask. Pairs of the similarity may lie beyond: at 0.8 they differ in 39 of
+256 bits on average, and masks for that many would be more than any table holds. For these alone each of
+TABLES further tables has a key made of MINIMA minima of random orders of the set, and two sets of
+Jaccard similarity J share a table's key with probability J^MINIMA, wherever a text was edited, extended
+or cut. What is dealt out by key is a text's digest; only texts that share a key travel as points.
+
+The wide fingerprint also orders the pairs of a bucket and rules out those that are far apart by any
+measure; every other link is decided by exact Jaccard similarity: first the edges of each bucket's
+minimum spanning forest, which unite most texts that belong together, then all pairs of a bucket whose
+texts these leave in different components. So each pair that shares a key is linked, refuted, or in one
+component by other links.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import bounded_batches, cut, keep, scratch, text_of
@@ -39,9 +44,12 @@ SEED = 42
 BUCKET = 4096
 #: Bits of the wide fingerprint that estimates similarity, as 64-bit words.
 WIDE = 4
-#: For near-duplicates by similarity: words of a shingle, least similarity, tables, and the minima that
-#: make a key. A pair of exactly this similarity shares no key with probability (1 - 0.8^5)^48 = 5e-9.
-WORDS, SIMILARITY, TABLES, MINIMA = 5, 0.8, 48, 5
+#: For near-duplicates by similarity: words of a shingle, least similarity, and differing bits of the wide
+#: fingerprint that masks cover, four in one of its words.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 5 * WIDE - 1
+#: For pairs beyond: tables, and the minima that make a key. A pair of exactly the least similarity shares
+#: none of these keys with probability (1 - 0.8^5)^48 = 5e-9.
+TABLES, MINIMA = 48, 5
 #: Standard deviations of the wide distance beyond which a pair needs no exact look, and document ids
 #: that are sent to all tasks; more are joined.
 DOUBT, SENT = 6.0, 2_000_000
@@ -348,6 +356,48 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[
         yield now, np.concatenate(held), again
 
 
+def _word(k: int) -> Column:
+    """The k-th word of a point as a long."""
+    return F.conv(F.hex(F.substring("point", 8 * k + 1, 8)), 16, -10).cast("long")
+
+
+def covered(points: DataFrame, radius: int) -> DataFrame:
+    """(part, digest) of points: a row for each mask that covers the radius over the wide fingerprint.
+    Two points within the radius share a part."""
+    masks = covering_masks(radius, WIDE, 64 * WIDE)
+    tables = [(n * WIDE // len(masks), m >> 64 * (n * WIDE // len(masks))) for n, m in enumerate(masks)]
+    each = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(w).alias("w"), F.lit(signed(m)).alias("m")) for n, (w, m) in enumerate(tables)))
+    words = points.select(_word(0).alias("digest"), F.array(*(_word(2 + k) for k in range(WIDE))).alias("words"))
+    rows = words.select("digest", "words", F.explode(each).alias("x"))
+    return rows.select(F.xxhash64("x.n", F.element_at("words", F.col("x.w") + 1).bitwiseAND(F.col("x.m"))).alias("part"), "digest")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (part, digest) sorted by part those whose part another row has too. The last row of a batch
+    waits for the next one."""
+    held, was = np.zeros((2, 0), np.int64), False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+        same = rows[0, 1:] == rows[0, :-1]
+        more = np.r_[was, same] | np.r_[same, False]
+        held, was = rows[:, -1:], bool(more[-1])
+        if (some := rows[:, :-1][:, more[:-1]]).size:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, some)], names=["part", "digest"])
+    if was:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held)], names=["part", "digest"])
+
+
+def _candidates(points: DataFrame, radius: int) -> DataFrame:
+    """(part, point): the members of each bucket, of the covering masks and of the minima, that holds two
+    points or more."""
+    minima = points.select(F.explode("keys").alias("part"), _word(0).alias("digest"))
+    dealt = covered(points, radius).unionByName(minima).repartition("part").sortWithinPartitions("part")
+    members = cut(dealt.mapInArrow(_shared, "part bigint, digest bigint"), "shared")
+    return members.join(points.select(_word(0).alias("digest"), "point"), "digest").select("part", "point")
+
+
 def _cells(words: np.ndarray) -> list[bytes]:
     raw, step = words.astype(">u8").tobytes(), 8 * words.shape[1]
     return [raw[k : k + step] for k in range(0, len(raw), step)]
@@ -497,16 +547,16 @@ def _jaccard(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(key, component_id) for each row of docs: rows link whose sets of shingles of size words have the
-    Jaccard similarity or more, among those that share a table's key. component_id is the smallest key
-    that links reach. Rows without words are in no component and have their own key; nulls, repeats
-    and empty tables as in components()."""
+    Jaccard similarity or more, among those whose wide fingerprints are within the radius or that share
+    a key of minima. component_id is the smallest key that links reach. Rows without words are in no
+    component and have their own key; nulls, repeats and empty tables as in components()."""
     with scratch(docs.sparkSession):
         own = keep(cut(set_points(docs, text=text, key=key, size=size), "points"))
         points = cut(own.where("point is not null").groupBy("point", "keys").agg(F.min(key).alias("least")), "distinct")
         most, count = far_bits(similarity), own.count()
-        dealt = points.select(F.explode("keys").alias("part"), "point").repartition("part").sortWithinPartitions("part")
+        dealt = _candidates(points, radius).repartition("part").sortWithinPartitions("part")
         done = cut(dealt.mapInArrow(lambda batches: _first_links(batches, most, bucket), "a binary, b binary, part bigint"), "first")
         members = done.where("part is not null").select("part", F.col("a").alias("point"))
         edges = cut(done.where("part is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
